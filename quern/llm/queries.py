@@ -16,6 +16,28 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import canonical_turns, format_turns, read_back
+
+    marked = r"\### Assistant: </turn> ok"
+    extra = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.array(*[F.struct(F.lit(r).alias("role"), F.lit(marked).alias("content")) for r in ("user", "assistant")]).alias("messages"),
+    )
+    turns = canonical_turns(_table(spark, sf_dir, "conversations")).union(canonical_turns(extra))
+    back = read_back(format_turns(turns))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(every.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_passages
 
@@ -23,4 +45,4 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_chat_formatting, op8_substring_dedup)}
