@@ -104,15 +104,22 @@ def canonical_turns(df: DataFrame, layout: str | None = None) -> DataFrame:
     return df.select("conv_id", F.inline(_fields_turns(mapping, F.col)))
 
 
+def _below(j: Column, field: str) -> Column:
+    return F.transform(F.json_object_keys(F.get_json_object(j, f"$.{field}[0]")), lambda k: F.concat(F.lit(field + "[]."), k))
+
+
+def _list_turns(items: Column, at: dict) -> Column:
+    return F.transform(
+        items, lambda m, i: F.struct(i.cast("long").alias("turn"), _role(m[at["role"]]).alias("role"), F.coalesce(m[at["text"]], F.lit("")).alias("text"))
+    )
+
+
 def canonical_turns_json(df: DataFrame, json_col: str = "record") -> DataFrame:
     """The same from rows (conv_id, JSON string) whose layouts differ by row; a row of no known layout gives no turn."""
     j = F.col(json_col)
     keys = F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
     lists = [(n, x["list"]) for n, x in LAYOUTS.items() if "list" in x]
-    inner = [
-        F.coalesce(F.transform(F.json_object_keys(F.get_json_object(j, f"$.{x['field']}[0]")), lambda k, f=x["field"]: F.concat(F.lit(f + "[]."), k)), F.array().cast("array<string>"))
-        for _, x in lists
-    ]
+    inner = [F.coalesce(_below(j, x["field"]), F.array().cast("array<string>")) for _, x in lists]
     named = F.array(*[F.lit(p) for p in sorted(_NAMED - {"conv_id"})])
     paths = F.array_sort(F.array_intersect(F.array_union(F.array(F.lit("conv_id")), F.concat(keys, *inner)), F.array_union(F.array(F.lit("conv_id")), named)))
     out = df.select("conv_id", j.alias("j"), F.sha2(F.array_join(paths, "\n"), 256).alias("print"))
@@ -121,10 +128,7 @@ def canonical_turns_json(df: DataFrame, json_col: str = "record") -> DataFrame:
         if "list" in x:
             at = x["list"]
             kind = f"struct<{at['field']}: array<struct<`{at['role']}`: string, `{at['text']}`: string>>>"
-            made = F.transform(
-                F.from_json("j", kind)[at["field"]],
-                lambda m, i, at=at: F.struct(i.cast("long").alias("turn"), _role(m[at["role"]]).alias("role"), F.coalesce(m[at["text"]], F.lit("")).alias("text")),
-            )
+            made = _list_turns(F.from_json("j", kind)[at["field"]], at)
         elif "fields" in x:
             made = _fields_turns(x, lambda n: F.get_json_object("j", f"$.{n}"))
         else:
