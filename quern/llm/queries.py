@@ -38,6 +38,18 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"), max_epochs=4.0)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_passages
 
@@ -51,4 +63,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_chat_formatting, op8_substring_dedup, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_chat_formatting, op4_pii_surrogates, op7_source_mixing, op8_substring_dedup, op10_benchmark_decontamination)}
