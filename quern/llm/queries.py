@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good; kept with P(grade >= 1) >= 0.5, as toxicity has a filter of its own."""
+    from .quality import expected_quality
+
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return expected_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), grade, 3)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -44,6 +52,19 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    back = read_archives(write_archives(_table(spark, sf_dir, "pages")), with_payload=False)
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -57,10 +78,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_chat_formatting, op4_pii_surrogates, op7_source_mixing, op8_substring_dedup, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_ngram_jaccard_join, op3_chat_formatting, op4_pii_surrogates, op5_toxicity, op6_warc, op7_source_mixing, op8_substring_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
