@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop, written
+from ._store import ONE_TASK_ROWS, drop, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     )
 
 
@@ -33,12 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
     (a node with very many links) adaptive execution splits.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    if now.count() <= ONE_TASK_ROWS:
+        now = now.coalesce(1)  # few edges: the same steps without any shuffle
     seen = None
     while True:
         nxt = written(_small_star(_large_star(now)), "cc")
         mark = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(now)
-        now = nxt
+        now = nxt.coalesce(1) if mark[0] <= ONE_TASK_ROWS else nxt
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)

@@ -3,17 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
+#: A table of at most so many narrow rows may be handled by one task, and one of BROADCAST_ROWS (at most 32 bytes each) sent to all.
+ONE_TASK_ROWS = 100_000
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, to be broadcast if a count finds that it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, as one partition if a count finds that it is very small."""
+    return df.coalesce(1) if df.count() <= ONE_TASK_ROWS else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
@@ -50,6 +68,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Inside, tables that are written get Arrow batches of at most about ``most`` bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession

@@ -7,6 +7,8 @@ depend on the process, the batch or the machine.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -48,6 +50,12 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(base, size)
 
 
+def release() -> None:
+    """Give memory that was freed back to the system; a worker lives on after a task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection whose every output bit depends on every input bit."""
     x = x + U(0x9E3779B97F4A7C15)

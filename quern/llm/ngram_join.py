@@ -16,7 +16,7 @@ at least ``num/den``.  The join is a prefix-filter join:
    and positional filters allow.  Class ids need links, not all pairs, so in each round a
    few pivots of each posting list are compared with the rest of the list, and
    documents that are already connected are not compared again.  The number of
-   pivots doubles by the round until every list is connected or exhausted:
+   pivots grows eightfold by the round until every list is connected or exhausted:
    no link between different components can be missed, and no cap holds.
 4. *Verify.* Each pair once: a suffix filter (halving the sets around a
    middle element bounds their overlap), then the exact size of the intersection.
@@ -40,12 +40,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import ship, written
-from ._words import U, Words, chunks, text_buffers
+from ._store import arrow_bytes, bounded, few, ship, written
+from ._words import U, Words, chunks, release, text_buffers
 
 SKETCH_BITS = 21  # counters of the frequency sketch: 2 bytes each in a task, 4 after merging
 SLICES = 64
 BLOOM_BITS = 26
+VERIFY_BYTES = 16 << 20  # of the pairs of sets that a Python worker gets at a time
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -89,7 +90,7 @@ def _suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4, pivots: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4, pivots: int = 1
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles (long), component_id (smallest id reachable by links), n_links.
 
@@ -165,11 +166,12 @@ def near_duplicates(
                 owner.append(int(ids[row]))
                 sizes.append(len(s))
                 held += p
-                if held > 2_000_000:
+                if held > 500_000:
                     yield _prefix_batch(toks, owner, sizes, n_buckets)
                     toks, owner, sizes, held = [], [], [], 0
             if toks:
                 yield _prefix_batch(toks, owner, sizes, n_buckets)
+        release()
 
     def shared(rows: pd.DataFrame) -> pd.DataFrame:
         tok = np.frombuffer(b"".join(rows["tok"]), np.uint64)
@@ -177,25 +179,29 @@ def near_duplicates(
         size = np.frombuffer(b"".join(rows["size"]), np.int32)
         pos = np.frombuffer(b"".join(rows["pos"]), np.int32)
         order = np.argsort(tok, kind="stable")
-        t = tok[order]
-        same = t[1:] == t[:-1]
-        keep = np.zeros(len(t), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        at = order[keep]
-        return pd.DataFrame({"tok": tok[at].view(np.int64), "doc": doc[at], "size": size[at], "pos": pos[at]})
+        tok, doc, size, rest = tok[order], doc[order], size[order].astype(np.int64), (size[order] - pos[order]).astype(np.int64)
+        for _ in range(2):
+            # Documents that share too little, from this n-gram on, with even the smallest set of the list; then lists of one.
+            new = np.append(True, tok[1:] != tok[:-1])[: len(tok)]
+            start = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            least = np.minimum.reduceat(size, start)[group] if len(tok) else size
+            keep = rest * (num + den) >= num * (size + np.maximum(least, -(-size * num // den)))
+            keep &= np.bincount(group[keep], minlength=len(start))[group] > 1
+            tok, doc, size, rest = tok[keep], doc[keep], size[keep], rest[keep]
+        release()
+        return pd.DataFrame({"tok": tok.view(np.int64), "doc": doc, "size": size.astype(np.int32), "rest": rest.astype(np.int32)})
 
     packed = docs.mapInArrow(prefixes, "bucket int, tok binary, doc binary, size binary, pos binary")
-    postings = packed.groupBy("bucket").applyInPandas(shared, "tok long, doc long, size int, pos int")
+    postings = packed.groupBy("bucket").applyInPandas(shared, "tok long, doc long, size int, rest int")
     # Equal sets stand as one: documents become the smallest document with the same set.
     rep_of = written(
         meta.where("digest is not null and doc_id is not null").join(classes, "digest").select(F.col("doc_id").alias("doc"), "rep").where("doc <> rep").distinct(), "reps"
     )
     postings = written(
-        postings.join(rep_of, "doc", "left")
-        .select("tok", F.coalesce("rep", "doc").alias("doc"), "size", "pos")
-        .groupBy("tok", "doc")
-        .agg(F.first("size").alias("size"), F.min("pos").alias("pos")),
+        postings.join(bounded(rep_of), "doc", "left")
+        .select("tok", F.coalesce("rep", "doc").alias("doc"), "size", "rest")
+        .distinct(),
         "postings",
     )
 
@@ -208,44 +214,58 @@ def near_duplicates(
         if comp is None:
             live = live.withColumn("comp", F.col("doc")).withColumn("weight", F.lit(0))
         else:
-            labelled = comp.select(F.col("node").alias("doc"), F.col("component"), "weight")
-            live = live.join(labelled, "doc", "left").select("tok", "doc", "size", "pos", F.coalesce("component", "doc").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
-        open_lists = live.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-        live = written(live.join(open_lists, "tok", "left_semi"), "live")
+            live = live.join(bounded(comp.select(F.col("node").alias("doc"), "component", "weight")), "doc", "left")
+            live = live.select("tok", "doc", "size", "rest", F.coalesce("component", "doc").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        # Lists that are not connected yet, without documents that share too little with even the smallest set there.
+        # Pivots of a list: first of the smallest components, and of them those with the fewest n-grams before this one.
+        order = F.struct("weight", (F.col("size") - F.col("rest")).alias("ahead"), "doc", "size", "rest", "comp")
+        lists = live.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"), F.min(order).alias("p")).where("lo <> hi")
+        enough = F.col("rest") * (num + den) >= num * (F.col("size") + F.greatest("least", F.ceil(F.col("size") * num / den)))
+        live = written(live.join(lists.select("tok", "least", "p"), "tok").where(enough).drop("least"), "live")
         if live.isEmpty():
             break
-        # The pivots of a list: its documents in the smallest components first.  Spark keeps the first k of each list before the shuffle.
-        first = W.partitionBy("tok").orderBy("weight", F.xxhash64("doc"), "doc")
-        lead = written(live.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots), "lead")
-        a = lead.select("tok", *[F.col(c).alias("a_" + c) for c in ("doc", "size", "pos", "comp", "k")])
+        if pivots == 1:
+            # One pivot has come with the list, so nothing is dealt out again.
+            met = live.where("doc <> p.doc").select("tok", "doc", "size", "rest", "comp", *[F.col(f"p.{c}").alias("a_" + c) for c in ("doc", "size", "rest", "comp")])
+            left = live.where("doc <> p.doc").select("tok", "doc", "size", "rest")
+        else:
+            # Spark keeps the first k of each list before the shuffle.
+            live = few(live.drop("p"))
+            first = W.partitionBy("tok").orderBy("weight", F.col("size") - F.col("rest"), "doc")
+            lead = few(written(live.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots), "lead"))
+            a = lead.select("tok", *[F.col(c).alias("a_" + c) for c in ("doc", "size", "rest", "comp")])
+            met = a.join(live, "tok")
+            left = live.select("tok", "doc", "size", "rest").join(lead.select("tok", "doc"), ["tok", "doc"], "left_anti")
         need = F.ceil(F.lit(num) * (F.col("a_size") + F.col("size")) / F.lit(num + den))
-        left = F.least(F.col("a_size") - F.col("a_pos"), F.col("size") - F.col("pos"))
         pairs = (
-            a.join(live, "tok")
-            .where("a_comp <> comp")
+            met.where("a_comp <> comp")
             .where(F.least("a_size", "size") * den >= F.greatest("a_size", "size") * num)  # length
-            .where(F.least("a_pos", "pos") + left >= need)  # position
+            # Position: at the first common n-gram, what is left of both sets must reach the intersection that is needed.
+            .where(F.least("a_rest", "rest") >= need)
             .select(F.least("a_doc", "doc").alias("a"), F.greatest("a_doc", "doc").alias("b"))
             .distinct()
         )
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if sets is None:
-            # Sets are made once for the documents of the first pairs and of the lists that go on; a Bloom filter of fixed size
-            # keeps the other texts from being dealt out (it only lets too many through).
-            more = live.join(live.groupBy("tok").count().where(F.col("count") > pivots).select("tok"), "tok", "left_semi").select("doc")
-            wanted = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(more).distinct(), "wanted")
-            sets = written(_sets_of(docs, wanted, n), "sets")
-        found = written(_verified(pairs, sets, num, den), "links")
+            pairs = pairs.join(bounded(done), ["a", "b"], "left_anti")
+        pairs = few(written(pairs, "pairs"))
+        # Sets are made for the documents of the pairs only; a Bloom filter of fixed size keeps the other texts from being
+        # dealt out (it only lets a few too many through).
+        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("doc").distinct(), "doc", "left_anti")
+        wanted = few(written(wanted, "wanted"))
+        if sets is None or not wanted.isEmpty():
+            made = written(_sets_of(docs, wanted, n), "sets")
+            sets = made if sets is None else sets.union(made)
+        with arrow_bytes(spark, VERIFY_BYTES):
+            found = written(_verified(pairs, sets, num, den), "links")
         links = found if links is None else links.union(found)
         done = pairs if done is None else written(done.union(pairs), "done")
-        # A pivot has met its whole list.
-        postings = written(live.select("tok", "doc", "size", "pos").join(lead.select("tok", "doc"), ["tok", "doc"], "left_anti"), "postings")
+        postings = written(left, "postings")  # a pivot has met its whole list
         if comp is None or not found.isEmpty():
-            comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            comp = few(written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "nodes"))
             comp = written(comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "component"), "comp")
-        pivots *= 2
+        pivots *= 8
 
     by_class = classes
     if comp is None:
@@ -288,7 +308,7 @@ def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, size, grams) of the wanted documents; grams: packed sorted 64-bit hashes."""
+    """(doc, grams) of the wanted documents and a few others, once for each row; grams: packed sorted 64-bit hashes."""
     spark = docs.sparkSession
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +346,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 made = [s.tobytes() for _, s in _sets(batch, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc", "grams"])
 
-    return docs.mapInArrow(make, "doc long, grams binary").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
+    return docs.mapInArrow(make, "doc long, grams binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -347,8 +367,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return (
-        pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
+        bounded(pairs).join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
         .join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(check, "a long, b long")
+        .distinct()
     )
