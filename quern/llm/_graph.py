@@ -9,18 +9,20 @@ from ._store import ONE_TASK_ROWS, drop, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(ends))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
         both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, one: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    out = moved.union(least.select("u", F.col("m").alias("v")))
+    return (out.coalesce(1) if one else out).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,14 +35,13 @@ def components(edges: DataFrame) -> DataFrame:
     (a node with very many links) adaptive execution splits.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    if now.count() <= ONE_TASK_ROWS:
-        now = now.coalesce(1)  # few edges: the same steps without any shuffle
-    seen = None
+    n, seen = now.count(), None
     while True:
-        nxt = written(_small_star(_large_star(now)), "cc")
+        one = n <= ONE_TASK_ROWS  # few edges: the same steps in one task, without any shuffle
+        nxt = written(_small_star(_large_star(now.coalesce(1) if one else now), one), "cc")
         mark = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(now)
-        now = nxt.coalesce(1) if mark[0] <= ONE_TASK_ROWS else nxt
+        now, n = nxt, mark[0]
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)

@@ -139,7 +139,7 @@ def near_duplicates(
 
     merged = surveyed.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(merge, "slice int, counts binary")
     order_by = np.zeros(width, np.uint32)
-    for r in merged.toLocalIterator():  # SLICES rows, 4 bytes a counter: 8 MB at any input size
+    for r in merged.collect():  # SLICES rows, 4 bytes a counter: 8 MB at any input size
         order_by[r["slice"] * per_slice : (r["slice"] + 1) * per_slice] = np.frombuffer(r["counts"], np.uint32)
     shared_order = spark.sparkContext.broadcast(order_by)
     meta = surveyed.where("slice is null").select("doc_id", "n", "digest")
@@ -329,7 +329,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     parts = wanted.coalesce(8).mapInArrow(fill, "slice int, bits binary").groupBy("slice").applyInPandas(either, "slice int, bits binary")
     bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
     per = len(bits) // SLICES
-    for r in parts.toLocalIterator():  # 8 MB at any input size
+    for r in parts.collect():  # 8 MB at any input size
         bits[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
@@ -366,9 +366,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                     ok.append(int((both[1:] == both[:-1]).sum()) >= need)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    pairs = bounded(pairs)
+    later = sets.join(pairs.select(F.col("b").alias("doc")).distinct(), "doc", "left_semi")
     return (
-        bounded(pairs).join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
-        .join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
+        pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
+        .join(later.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(check, "a long, b long")
         .distinct()

@@ -114,7 +114,7 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int, bits: int) -> tupl
 
     found = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
     merged = docs.mapInArrow(sketch, "slice int, places binary").groupBy("slice").applyInPandas(merge, "slice int, bits binary")
-    for r in merged.toLocalIterator():  # 2 * 2**bits bits at any input size
+    for r in merged.collect():  # 2 * 2**bits bits at any input size
         row, i = divmod(r["slice"], SLICES)
         found[row][i * per // 8 : (i + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
     return found[0], found[1]
