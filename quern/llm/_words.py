@@ -17,7 +17,7 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = (1 << 19) - 1
 
 
 @lru_cache(maxsize=4)
@@ -29,25 +29,24 @@ def _tables(lower: bool) -> np.ndarray:
     return lut
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < size."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.ones(size, U)
-        filled = 1
-        while filled < size:
-            n = min(filled, size - filled)
-            p[filled : filled + n] = p[:n] * U(pow(b, filled, 1 << 64))
-            filled += n
-        out.append(p)
-    return out[0], out[1]
+_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(base, size)
+    """base**i and base**-i modulo 2**64 for i < n at least; one table of each base is held."""
+    if base not in _held or len(_held[base][0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        _held.pop(base, None)
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.ones(size, U)
+            filled = 1
+            while filled < size:
+                p[filled : 2 * filled] = p[:filled] * U(pow(b, filled, 1 << 64))
+                filled *= 2
+            out.append(p)
+        _held[base] = (out[0], out[1])
+    return _held[base]
 
 
 def release() -> None:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ._chargrams import grams
 from ._fit import Sparse, adam, fold_of, labelled_sample, sigmoid
 from ._store import ship
+from ._words import release
 
 
 def fit_cumulative_link(x: Sparse, y: np.ndarray, n_grades: int, steps: int = 150, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +54,12 @@ def fit_cumulative_link(x: Sparse, y: np.ndarray, n_grades: int, steps: int = 15
     return p[: x.width].astype(np.float32), thresholds(p)
 
 
+def _values(count: np.ndarray) -> np.ndarray:
+    """1 + log(count), scaled to length 1; half for the feature of count 0."""
+    value = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0)
+    return np.where(count > 0, value / np.sqrt((value * value).sum() or 1), 0.5).astype(np.float32)
+
+
 def expected_quality(
     docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = (2, 3), bits: int = 16,
     most: int = 4000, select_grade: int = 1, select_tail: float = 0.5, held_fold: int = 2,
@@ -70,24 +77,22 @@ def expected_quality(
         for g in grams(column, sizes, bits):
             count = np.bincount(g, minlength=1 << bits)
             at = np.flatnonzero(count).astype(np.int32)
-            value = 1 + np.log(count[at])
-            value /= np.sqrt((value * value).sum() or 1)
-            # One more feature for how varied a text of this length is, which scaling hides.
+            # One more feature, of count 0, for how varied a text of this length is, which scaling hides.
             varied = (1 << bits) + len(g).bit_length() * 17 + len(at) * 16 // max(len(g), 1)
-            yield np.append(at, np.int32(varied)), np.append(value, 0.5).astype(np.float32)
+            yield np.append(at, np.int32(varied)), np.append(count[at], 0)
 
     sample = labelled_sample(docs, labels, F.col("label"), fold_of(F.col("doc_id")) != held_fold, most, features)
     width = (1 << bits) + 64 * 17
     weight, cut = np.zeros(width, np.float32), np.zeros(n_grades - 1)
-    if sample:
-        y = np.clip(np.array([label for label, _, _ in sample]), 0, n_grades - 1)
-        weight, cut = fit_cumulative_link(Sparse([(at, v) for _, at, v in sample], width), y, n_grades)
+    if len(sample.labels):
+        weight, cut = fit_cumulative_link(Sparse(((at, _values(count)) for at, count in sample), width), np.clip(sample.labels, 0, n_grades - 1), n_grades)
+    release()
     model = spark.sparkContext.broadcast((weight, cut))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, t = model.value
         for batch in batches:
-            z = np.array([float(w[at] @ v) for at, v in features(batch.column(1))], float)
+            z = np.array([float(w[at] @ _values(count)) for at, count in features(batch.column(1))], float)
             tails = sigmoid(z[:, None] - t[None, :])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(tails[:, select_grade - 1])], names=["doc_id", "expected_grade", "tail"])
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ._chargrams import distinct, grams
 from ._fit import Sparse, adam, fold_of, labelled_sample, sigmoid
 from ._store import ship
+from ._words import release
 
 SCALE = 0.05
 
@@ -40,21 +41,22 @@ def toxicity(
         flags = np.zeros(1 << bits, bool)
         for g in grams(column, sizes, bits):
             at = distinct(g, flags)
-            yield at, np.zeros(0, np.float32)
+            yield at, np.zeros(0, np.int32)
 
     sample = labelled_sample(docs.select("doc_id", "text"), labels, F.col("label"), fold_of(F.col("doc_id")) != held_fold, most, features)
-    y = np.array([label > 0 for label, _, _ in sample], float)
+    y = (sample.labels > 0).astype(float)
     weight, bias = np.zeros(1 << bits, np.float32), 0.0
     if len(y):
         toxic, other = np.ones(1 << bits), np.ones(1 << bits)
-        for (_, at, _), t in zip(sample, y):
+        for (at, _), t in zip(sample, y):
             (toxic if t else other)[at] += 1
         ratio = np.log(toxic / (y.sum() + 2)) - np.log(other / (len(y) - y.sum() + 2))
         ratio[(toxic + other - 2 < min_docs) | (np.abs(ratio) < min_ratio)] = 0
         used = np.flatnonzero(ratio)
         number = np.full(1 << bits, -1, np.int32)
         number[used] = np.arange(len(used))
-        x = Sparse([(n := number[at[ratio[at] != 0]], SCALE * ratio[used[n]]) for _, at, _ in sample], len(used))
+        kept = (number[at[ratio[at] != 0]] for at, _ in sample)
+        x = Sparse(((n, (SCALE * ratio[used[n]]).astype(np.float32)) for n in kept), len(used))
 
         def gradient(w: np.ndarray) -> np.ndarray:
             g = (sigmoid(x.dot(w[:-1]) + w[-1]) - y) / len(y)
@@ -63,6 +65,8 @@ def toxicity(
         fitted = adam(np.zeros(len(used) + 1), gradient, 120, 0.05)
         weight[used] = fitted[:-1] * ratio[used] * SCALE
         bias = float(fitted[-1])
+        del x, toxic, other
+    release()
     model = spark.sparkContext.broadcast((weight, bias))  # 4 * 2**bits bytes
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
