@@ -92,9 +92,9 @@ def _suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4, pivots: int = 1
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles (long), component_id (smallest id reachable by links), n_links.
+    """One row per row of ``docs``: id, n_shingles (long), component_id (smallest id reachable by links), verified_links.
 
-    n_links counts the verified links that the rounds needed between different sets, for the class of equal sets.
+    verified_links: links of the class of equal sets to other sets that the rounds verified; not all links, which components do not need.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -269,17 +269,17 @@ def near_duplicates(
 
     by_class = classes
     if comp is None:
-        by_class = by_class.select("digest", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        by_class = by_class.select("digest", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("verified_links"))
     else:
-        degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+        degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("verified_links"))
         by_class = (
             by_class.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .join(degree, "rep", "left")
-            .select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+            .select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links"))
         )
     linked = meta.where("digest is not null and doc_id is not null").join(by_class, "digest")
     alone = meta.where("digest is null or doc_id is null")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").union(
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "verified_links").union(
         alone.select("doc_id", F.col("n"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long"))
     )
 

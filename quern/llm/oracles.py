@@ -1,7 +1,7 @@
 """DuckDB SQL that gives the same rows as the queries of ``queries``.
 
 The learned, sampled and keyed operators (1, 4, 5, 7) and the pipeline have none; tests hold them against brute force or held-out labels.
-Query 2's further column n_links and query 3's formatted_chars depend on the method, so these have none either.
+Query 2's further column verified_links and query 3's formatted_chars depend on the method, so these have none either.
 """
 
 _WORDS = r"[^\x20\x09-\x0D]+"
