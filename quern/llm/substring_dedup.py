@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import ship, written
-from ._words import U, Words, chunks, mix, text_buffers
+from ._words import U, Words, chunks, mix, release, text_buffers
 
 SLICES = 64
+HELD_WINDOWS = 400_000  # windows that a worker decides among at a time, 40 bytes each
 
 
 def _anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,6 +92,7 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int, bits: int) -> tupl
                     new = np.ones(len(a), bool)
                     new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
                     kept.append(a[new])
+            release()
             if not kept:
                 continue
             places = _rows_of(np.concatenate(kept), bits)
@@ -160,12 +162,35 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = spark.sparkContext.broadcast(repeated_anchors(docs.where("doc_id is not null"), window, gram, bits))
     n_buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def packed_rows(got: list[tuple]) -> pa.RecordBatch:
+        """Decides windows that meet here; the others and the decided ones, packed by bucket."""
+        h, h2, doc, key, pos, a = (np.concatenate(x) for x in zip(*got))
+        order, later = _later(h, h2, doc)
+        h, h2, doc, key, pos, a = (x[order] for x in (h, h2, doc, key, pos, a))
+        out = []
+        for kind in (False, True):  # still open, decided
+            sel = later == kind
+            b = ((mix(doc[sel].view(U)) if kind else mix(a[sel])) % U(n_buckets)).astype(np.int64)
+            by = np.argsort(b, kind="stable")
+            b = b[by]
+            cut = np.searchsorted(b, np.arange(n_buckets + 1))
+            cols = [x[sel][by] for x in (h, h2, doc, key, pos)]
+            for i in np.unique(b):
+                x, y = cut[i], cut[i + 1]
+                packed = [c[x:y].tobytes() for c in cols]
+                out.append((int(i), *(packed if not kind else [b"", b"", *packed[2:]])))
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["bucket", "h", "h2", "doc", "key", "pos"]
+        )
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits0, bits1 = rows.value
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             off, raw = text_buffers(batch.column(1))
             got: list[tuple] = []
+            held = 0
             for at, end in chunks(off):
                 words = Words(off, raw, at, end, lower=False)
                 where, doc, a = _anchors(words, window, gram)
@@ -178,27 +203,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     h = _runs(words.hash, window, 1)[where]
                     h2 = (_runs(words.hash, window, 2)[where] >> U(32)).astype(np.uint32)
                     got.append((h, h2, ids[at + doc], keys[at + doc], (where - words.first[doc]).astype(np.int32), a))
-            if not got:
-                continue
-            h, h2, doc, key, pos, a = (np.concatenate(x) for x in zip(*got))
-            order, later = _later(h, h2, doc)
-            h, h2, doc, key, pos, a = (x[order] for x in (h, h2, doc, key, pos, a))
-            out = []
-            for kind in (False, True):  # still open, decided
-                sel = later == kind
-                b = ((mix(doc[sel].view(U)) if kind else mix(a[sel])) % U(n_buckets)).astype(np.int64)
-                by = np.argsort(b, kind="stable")
-                b = b[by]
-                cut = np.searchsorted(b, np.arange(n_buckets + 1))
-                cols = [x[sel][by] for x in (h, h2, doc, key, pos)]
-                for i in np.unique(b):
-                    x, y = cut[i], cut[i + 1]
-                    packed = [c[x:y].tobytes() for c in cols]
-                    out.append((int(i), *(packed if not kind else [b"", b"", *packed[2:]])))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["bucket", "h", "h2", "doc", "key", "pos"]
-            )
+                    held += len(a)
+                if held > HELD_WINDOWS:
+                    yield packed_rows(got)
+                    got, held = [], 0
+            if got:
+                yield packed_rows(got)
+            release()
 
     def decide(part: pd.DataFrame) -> pd.DataFrame:
         done = part["h"].str.len() == 0
@@ -208,7 +219,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = [join(still, c, k) for c, k in (("doc", np.int64), ("key", np.int64), ("pos", np.int32))]
         order, later = _later(h, h2, cols[0])
         cols = [np.concatenate((c[order][later], join(known, n, k))) for c, (n, k) in zip(cols, (("doc", np.int64), ("key", np.int64), ("pos", np.int32)))]
-        return _spans(*cols, window)
+        out = _spans(*cols, window)
+        release()
+        return out
 
     keyed = docs.withColumn("key", F.xxhash64("text"))
     spans = (
