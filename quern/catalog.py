@@ -5,31 +5,18 @@ The tables stand for the engine's own: orders for images, lineitem for defects,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
 from quern.operators import relational as R
 from quern.operators import scoring as P
+from quern.plans.registry import ORACLES, QUERIES  # noqa: F401
+from quern.plans.registry import query as _query
+from quern.plans.registry import table as _t
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "stratified_sample"
 
 
-def _query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 @_query("""
 SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'normal' ELSE 'defect' END AS row_kind, coalesce(l_linenumber, 0) AS line
 FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON o_orderkey = l_orderkey""")
@@ -208,11 +195,16 @@ def distribution_heatmap(spark, d):
 
 
 @_query("""
-WITH h AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 4))::INT AS h FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.h, b.h)) <= 1""")
+WITH h AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS h FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT h, min(vec_id) AS id, count(*) AS n FROM h GROUP BY h)
+SELECT a.id AS a, a.n AS n_a, b.id AS b, b.n AS n_b, bit_count(xor(a.h, b.h))::INT AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 7""")
 def close_hash_pairs(spark, d):
-    h = F.conv(F.substr(F.md5(F.col("text").cast("binary")), F.lit(1), F.lit(4)), 16, 10).cast("long")
-    return R.close_hashes(_t(spark, d, "documents").select("doc_id", h.alias("h")), "doc_id", "h", 1)
+    """The signs of the first 63 components stand for a perceptual hash."""
+    bit = lambda i: F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    h = bit(0)
+    for i in range(1, 63):
+        h = h.bitwiseOR(bit(i))
+    return R.close_hashes(_t(spark, d, "embeddings").where("embedding is not null").select("vec_id", h.alias("h")), "vec_id", "h", 7, 63)
 
 
 @_query("""
@@ -246,3 +238,6 @@ SELECT o_orderstatus AS split, count(*) AS total, count(*) FILTER (o_totalprice
 def counts_by_split(spark, d):
     high = (F.col("o_totalprice") > 150000).cast("int")
     return _t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("split")).agg(F.count(F.lit(1)).alias("total"), F.sum(high).alias("defect"), F.sum(1 - high).alias("normal"))
+
+
+from quern.plans import checks, evaluation, rules, splits, texts  # noqa: E402, F401  (they register their queries)

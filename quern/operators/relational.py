@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
+from quern.operators.ordered import hash_place
 
 
 def left_join_checked(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
@@ -24,16 +25,26 @@ def first_of_equal(df: DataFrame, same: Column, order: str) -> DataFrame:
     return df.groupBy(same.alias("_same")).agg(F.min_by(rest, F.col(order)).alias("r")).select("r.*")
 
 
-def close_hashes(df: DataFrame, id_col: str, hash_col: str, radius: int) -> DataFrame:
-    """Pairs (a, b, distance) with a < b of 64-bit hashes within ``radius`` bits: exact, by meeting in one of radius + 1 bit blocks."""
-    cut = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    h = F.col(hash_col)
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).alias("value")) for i, (a, b) in enumerate(zip(cut, cut[1:]))])
-    keyed = df.select(F.col(id_col).alias("id"), h.alias("h"), F.inline(blocks))
+def close_hashes(df: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64) -> DataFrame:
+    """(a, n_a, b, n_b, distance), a < b: pairs of different ``bits``-bit hashes within ``radius`` bits, by the smallest id of each hash.
+
+    Exact: two such hashes agree in one of radius + 1 blocks of bits.  Rows of an equal hash are one class (its smallest id and its
+    size), so large groups of copies make no pairs; the pair is taken from the first block in which it meets.
+    """
+    cut = [round(i * bits / (radius + 1)) for i in range(radius + 2)]
+    block = lambda h, i: F.shiftrightunsigned(h, cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1 if cut[i + 1] - cut[i] < 64 else -1))
+    classes = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    keyed = classes.select("id", "n", "h", F.posexplode(F.array(*[block(F.col("h"), i) for i in range(radius + 1)])).alias("block", "value"))
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")))
-    distance = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h")))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+    differ = F.col("a.h").bitwiseXOR(F.col("b.h"))
+    first = F.lit(radius + 1)
+    for i in range(radius, -1, -1):
+        first = F.when(block(differ, i) == 0, F.lit(i)).otherwise(first)
+    distance = F.bit_count(differ)
+    return met.where((distance <= radius) & (F.col("a.block") == first)).select(
+        F.col("a.id").alias("a"), F.col("a.n").alias("n_a"), F.col("b.id").alias("b"), F.col("b.n").alias("n_b"), distance.alias("distance")
+    )
 
 
 def runs(df: DataFrame, by: list[str], number: str, most_gap: int = 1) -> DataFrame:
@@ -49,8 +60,8 @@ def stratified_sample(groups: DataFrame, group: str, stratum: str, size: int, se
     total = groups.agg(F.count(F.lit(1)).alias("population"))
     per = groups.groupBy(stratum).agg(F.count(F.lit(1)).alias("G_h")).crossJoin(F.broadcast(total))  # one row
     per = per.withColumn("n_h", S.allocate(F.col("G_h"), size, F.col("population"))).drop("population")
-    place = F.row_number().over(W.partitionBy(stratum).orderBy(S.order_key(seed, F.col(group)), group))
-    return groups.join(per, stratum).withColumn("place", place).where("place <= n_h")
+    placed = hash_place(groups, [stratum], group, seed).withColumn("place", F.col("place").cast("int"))
+    return placed.join(per, stratum).where("place <= n_h")
 
 
 def rule_lookup(queries: DataFrame, rules: DataFrame, keys: list[str], value: str) -> DataFrame:

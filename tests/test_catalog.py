@@ -18,7 +18,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
