@@ -25,18 +25,19 @@ def first_of_equal(df: DataFrame, same: Column, order: str) -> DataFrame:
     return df.groupBy(same.alias("_same")).agg(F.min_by(rest, F.col(order)).alias("r")).select("r.*")
 
 
-def close_hashes(df: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64) -> DataFrame:
+def close_hashes(df: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64, by: list[str] | None = None) -> DataFrame:
     """(a, n_a, b, n_b, distance), a < b: pairs of different ``bits``-bit hashes within ``radius`` bits, by the smallest id of each hash.
 
     Exact: two such hashes agree in one of radius + 1 blocks of bits.  Rows of an equal hash are one class (its smallest id and its
     size), so large groups of copies make no pairs; the pair is taken from the first block in which it meets.
+    With ``by``, only hashes of equal ``by`` meet.
     """
     cut = [round(i * bits / (radius + 1)) for i in range(radius + 2)]
     block = lambda h, i: F.shiftrightunsigned(h, cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1 if cut[i + 1] - cut[i] < 64 else -1))
-    classes = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
-    keyed = classes.select("id", "n", "h", F.posexplode(F.array(*[block(F.col("h"), i) for i in range(radius + 1)])).alias("block", "value"))
+    classes = df.where(F.col(hash_col).isNotNull()).groupBy(F.struct(F.lit(0), *(by or [])).alias("by"), F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    keyed = classes.select("id", "n", "h", "by", F.posexplode(F.array(*[block(F.col("h"), i) for i in range(radius + 1)])).alias("block", "value"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")))
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & F.col("a.by").eqNullSafe(F.col("b.by")) & (F.col("a.id") < F.col("b.id")))
     differ = F.col("a.h").bitwiseXOR(F.col("b.h"))
     first = F.lit(radius + 1)
     for i in range(radius, -1, -1):
