@@ -200,11 +200,7 @@ c AS (SELECT h, min(vec_id) AS id, count(*) AS n FROM h GROUP BY h)
 SELECT a.id AS a, a.n AS n_a, b.id AS b, b.n AS n_b, bit_count(xor(a.h, b.h))::INT AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 7""")
 def close_hash_pairs(spark, d):
     """The signs of the first 63 components stand for a perceptual hash."""
-    bit = lambda i: F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    h = bit(0)
-    for i in range(1, 63):
-        h = h.bitwiseOR(bit(i))
-    return R.close_hashes(_t(spark, d, "embeddings").where("embedding is not null").select("vec_id", h.alias("h")), "vec_id", "h", 7, 63)
+    return R.close_hashes(rules.signs(spark, d), "vec_id", "h", 7, 63)
 
 
 @_query("""

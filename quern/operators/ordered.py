@@ -118,3 +118,13 @@ def gap_report(df: DataFrame, by: str, number: str, cap: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps"), F.count_if(F.col("missing") > cap).alias("gaps_over"),
         F.coalesce(F.sum(F.when(small, F.col("missing"))), F.lit(0)).alias("missing_small"), (F.count_if(gap) + 1).alias("runs"),
     )
+
+
+def close_numbers(df: DataFrame, by: str, number: str, span: int) -> DataFrame:
+    """(by, a, b): distinct whole numbers of one ``by`` with 1 <= b - a <= span.
+
+    Joined on bins of ``span`` numbers, each a meeting its own and the next bin: at most span partners for each number.
+    """
+    ids = df.select(by, F.col(number).cast("long").alias("b")).distinct().withColumn("_bin", F.floor(F.col("b") / span))
+    left = ids.select(by, F.col("b").alias("a"), F.explode(F.array("_bin", F.col("_bin") + 1)).alias("_bin"))
+    return left.join(ids, [by, "_bin"]).where((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= span)).select(by, "a", "b")
