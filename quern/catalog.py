@@ -194,15 +194,6 @@ def distribution_heatmap(spark, d):
     return docs.groupBy(F.coalesce("lang", F.lit("n/a")).alias("lang"), "source").agg(F.count(F.lit(1)).alias("n")).where("source is not null")
 
 
-@_query("""
-WITH h AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS h FROM embeddings WHERE embedding IS NOT NULL),
-c AS (SELECT h, min(vec_id) AS id, count(*) AS n FROM h GROUP BY h)
-SELECT a.id AS a, a.n AS n_a, b.id AS b, b.n AS n_b, bit_count(xor(a.h, b.h))::INT AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 7""")
-def close_hash_pairs(spark, d):
-    """The signs of the first 63 components stand for a perceptual hash."""
-    return R.close_hashes(rules.signs(spark, d), "vec_id", "h", 7, 63)
-
-
 @_query("""
 WITH g AS (SELECT c_nationkey AS g, sum(c_custkey % 7)::BIGINT AS num, count(*) AS den FROM customer GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n FROM g),
 p AS (SELECT draw, CAST(('0x' || substr(sha256('b|' || draw || '|' || i), 1, 12))::BIGINT % (SELECT max(n) FROM k) AS BIGINT) AS k FROM range(50) t(draw), range(200) u(i) WHERE i < (SELECT max(n) FROM k))

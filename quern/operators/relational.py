@@ -48,6 +48,14 @@ def close_hashes(df: DataFrame, id_col: str, hash_col: str, radius: int, bits: i
     )
 
 
+def distances(df: DataFrame, id_col: str, hash_col: str, radius: int, bits: int = 64) -> DataFrame:
+    """(distance, pairs): how many pairs of rows are 0 to ``radius`` bits apart; multiplied out from classes, no pair is made."""
+    n = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.count(F.lit(1)).alias("n"))
+    same = n.select(F.lit(0).alias("distance"), F.floor(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    near = close_hashes(df, id_col, hash_col, radius, bits).select("distance", (F.col("n_a") * F.col("n_b")).alias("pairs"))
+    return same.union(near).groupBy("distance").agg(F.sum("pairs").alias("pairs"))
+
+
 def runs(df: DataFrame, by: list[str], number: str, most_gap: int = 1) -> DataFrame:
     """Adds run_start: the first number of the row's run; a run ends where the next number is more than ``most_gap`` higher."""
     w = W.partitionBy(*by).orderBy(number)

@@ -59,10 +59,10 @@ def derive_capabilities(spark, d):
 
 
 @query("""
-WITH e AS (SELECT DISTINCT user_id, event_type FROM events) SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM e) u, (SELECT DISTINCT event_type FROM e) t
-WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = u.user_id AND e.event_type = t.event_type)""")
+WITH e AS (SELECT DISTINCT user_id, hour(ts)::INT AS hour FROM events) SELECT u.user_id, t.hour FROM (SELECT DISTINCT user_id FROM e) u, (SELECT DISTINCT hour FROM e) t
+WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = u.user_id AND e.hour = t.hour)""")
 def audit_rounds(spark, d):
-    return C.missing_grid(table(spark, d, "events"), "user_id", "event_type")
+    return C.missing_grid(table(spark, d, "events").select("user_id", F.hour("ts").alias("hour")), "user_id", "hour")
 
 
 @query("""

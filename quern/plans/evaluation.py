@@ -93,10 +93,10 @@ def pick_threshold(spark, d):
 @query("""
 WITH n AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1),
 f AS (SELECT l_suppkey, l_returnflag, count(DISTINCT l_orderkey) AS n_with, median(l_quantity) AS l_quantity, median(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2)
-SELECT l_suppkey, l_returnflag, n_with, n, l_quantity, round(l_extendedprice, 4) AS l_extendedprice FROM f JOIN n USING (l_suppkey) WHERE 10 * n_with >= 4 * n""")
+SELECT l_suppkey, l_returnflag, n_with, n, l_quantity, round(l_extendedprice, 4) AS l_extendedprice FROM f JOIN n USING (l_suppkey) WHERE 100 * n_with >= 35 * n""")
 def predict_gate(spark, d):
     fit = E.fit_gate(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", "l_returnflag", ["l_quantity", "l_extendedprice"])
-    return fit.where("10 * n_with >= 4 * n").withColumn("l_extendedprice", F.round("l_extendedprice", 4))
+    return fit.where("100 * n_with >= 35 * n").withColumn("l_extendedprice", F.round("l_extendedprice", 4))
 
 
 @query("""

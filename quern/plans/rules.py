@@ -1,4 +1,4 @@
-"""Queries on rule tables and graphs; part stands for rules, embeddings' signs for perceptual hashes."""
+"""Queries on rule tables and graphs; part stands for rules, their sizes for perceptual hashes."""
 
 from __future__ import annotations
 
@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from quern.operators import graph as G
 from quern.operators import rules as R
+from quern.operators.relational import close_hashes, distances
 from quern.plans.registry import query, table
 
-_SIGNS = "SELECT vec_id, label, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS h FROM embeddings WHERE embedding IS NOT NULL"
+_HASHES = "SELECT p_partkey, p_type, CASE WHEN p_size % 4 > 0 THEN (1::BIGINT << (p_size * 7 % 53)) - 1 + ((regexp_extract(p_brand, '[0-9]+')::BIGINT % 8) << 54) END AS h FROM part"
 
 
-def signs(spark, d):
-    """(vec_id, label, h): the signs of the first 63 components."""
-    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(63)]
-    h = bits[0]
-    for b in bits[1:]:
-        h = h.bitwiseOR(b)
-    return table(spark, d, "embeddings").where("embedding is not null").select("vec_id", "label", h.alias("h"))
+def hashes(spark, d):
+    """(p_partkey, p_type, h): a scale of the size and the brand's number in 57 bits, so that near sizes are near; null for some."""
+    brand = F.regexp_extract("p_brand", "[0-9]+", 0).cast("long") % 8
+    scale = F.expr("shiftleft(1L, p_size * 7 % 53) - 1")
+    return table(spark, d, "part").select("p_partkey", "p_type", F.when(F.col("p_size") % 4 > 0, scale + F.shiftleft(brand, 54)).alias("h"))
 
 
 @query("SELECT p_brand, p_type, p_size, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2, 3 HAVING count(*) > 1")
@@ -98,12 +97,29 @@ def bucket_interval(spark, d):
 
 
 @query(f"""
-WITH RECURSIVE h AS ({_SIGNS}), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.label = b.label AND a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 7),
-r AS (SELECT vec_id, vec_id AS c FROM h UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.vec_id),
-m AS (SELECT vec_id, min(c) AS component FROM r GROUP BY 1)
-SELECT vec_id, component, count(*) OVER (PARTITION BY component) AS size FROM m""")
+WITH RECURSIVE h AS ({_HASHES}), k AS (SELECT p_type, h, min(p_partkey) AS id FROM h WHERE h IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.p_type = b.p_type AND a.id <> b.id AND bit_count(xor(a.h, b.h)) <= 1),
+r AS (SELECT id, id AS c FROM k UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY 1),
+g AS (SELECT p_partkey, coalesce(c, p_partkey) AS component FROM h LEFT JOIN k USING (p_type, h) LEFT JOIN m USING (id))
+SELECT p_partkey, component, count(*) OVER (PARTITION BY component) AS size FROM g""")
 def build_groups(spark, d):
-    return G.evidence_groups(signs(spark, d), "vec_id", "h", 7, 63, "label")
+    return G.evidence_groups(hashes(spark, d), "p_partkey", "h", 1, 57, "p_type")
+
+
+@query(f"""
+WITH h AS ({_HASHES}), c AS (SELECT h, min(p_partkey) AS id, count(*) AS n FROM h WHERE h IS NOT NULL GROUP BY 1)
+SELECT a.id AS a, a.n AS n_a, b.id AS b, b.n AS n_b, bit_count(xor(a.h, b.h))::INT AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 3""")
+def close_hash_pairs(spark, d):
+    return close_hashes(hashes(spark, d), "p_partkey", "h", 3, 57)
+
+
+@query(f"""
+WITH h AS ({_HASHES}), c AS (SELECT h, count(*) AS n FROM h WHERE h IS NOT NULL GROUP BY 1)
+SELECT bit_count(xor(a.h, b.h))::INT AS distance, sum(a.n * b.n)::BIGINT AS pairs FROM c a JOIN c b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3 GROUP BY 1
+UNION ALL SELECT 0, sum(n * (n - 1) // 2)::BIGINT FROM c""")
+def distance_histogram(spark, d):
+    """How many pairs of rows are at each distance up to the radius, counted by classes."""
+    return distances(hashes(spark, d), "p_partkey", "h", 3, 57)
 
 
 @query("""
