@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
+from quern.operators import ordered as O
 from quern.operators import relational as R
 from quern.operators import scoring as P
 from quern.plans.registry import ORACLES, QUERIES  # noqa: F401
@@ -57,7 +58,7 @@ SELECT user_id, event_id, max(start) OVER (PARTITION BY user_id ORDER BY event_i
 FROM (SELECT user_id, event_id, CASE WHEN lag(event_id) OVER w IS NULL OR event_id - lag(event_id) OVER w > 50 THEN event_id END AS start
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
 def build_runs(spark, d):
-    return R.runs(_t(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 50)
+    return O.run_starts(_t(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 50)
 
 
 @_query("""
@@ -195,7 +196,7 @@ def distribution_heatmap(spark, d):
 
 
 @_query("""
-WITH g AS (SELECT c_nationkey AS g, sum(c_custkey % 7)::BIGINT AS num, count(*) AS den FROM customer GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n FROM g),
+WITH g AS (SELECT c_nationkey AS g, sum(c_custkey % 7)::BIGINT AS num, count(*) AS den FROM customer GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY sha256('b|' || g)) - 1 AS k, count(*) OVER () AS n FROM g),
 p AS (SELECT draw, CAST(('0x' || substr(sha256('b|' || draw || '|' || i), 1, 12))::BIGINT % (SELECT max(n) FROM k) AS BIGINT) AS k FROM range(50) t(draw), range(200) u(i) WHERE i < (SELECT max(n) FROM k))
 SELECT draw, sum(num)::BIGINT AS num, sum(den)::BIGINT AS den FROM p JOIN k USING (k) GROUP BY draw""")
 def cluster_bootstrap(spark, d):

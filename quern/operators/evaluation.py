@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
-from quern.operators.ordered import sum_before
+from quern.operators.ordered import spread, sum_before
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -88,9 +88,8 @@ def fit_gate(df: DataFrame, by: str, unit: str, label: str, boxes: list[str]) ->
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve, ties counted half; one row, null if a class is empty."""
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    ends = per.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096)).otherwise(F.lit(0))
-    run = sum_before(per.crossJoin(F.broadcast(ends)), [], part, [F.col("s")], F.col("q"), "below")  # one row of ends
+    wide, part = spread(per, "s")
+    run = sum_before(wide, [], part, [F.col("s")], F.col("q"), "below")
     wins = F.sum(F.col("p") * (2 * F.col("below") + F.col("q")).cast("double"))
     return run.agg(ratio(wins, 2.0 * F.sum("p") * F.sum("q")).alias("auc"))
 

@@ -30,6 +30,44 @@ def sum_before(df: DataFrame, by: list[str], part: Column, order: list[Column],
     return joined.select(*df.columns, (F.col("_above") + F.col("_inside")).alias(out))
 
 
+def spread(df: DataFrame, value: str, bins: int = 4096) -> tuple[DataFrame, Column]:
+    """The rows with the ends of a numeric column beside, and a part that is monotone in it: its bin of equal width."""
+    ends = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    wide = F.col("_hi") - F.col("_lo")
+    return df.crossJoin(F.broadcast(ends)), F.when(wide > 0, F.floor((F.col(value) - F.col("_lo")) / wide * bins)).otherwise(F.lit(0))  # one row of ends
+
+
+def previous(df: DataFrame, by: list[str], number: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """Adds ``out``: the number before, of the same ``by`` (nulls are a key); whole numbers, dealt by (by, bin of ``width``)."""
+    rows = df.withColumn("_bin", F.floor(F.col(number) / width))
+    names = [f"_by{i}" for i in range(len(by))]
+    tops = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_bin").alias("_b")).agg(F.max(number).alias("_top"))
+    tops = tops.withColumn("_below", F.lag("_top").over(W.partitionBy(*names).orderBy("_b"))).drop("_top")
+    same = F.col("_bin").eqNullSafe(F.col("_b"))
+    for c, n in zip(by, names):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    inside = F.lag(number).over(W.partitionBy(*by, "_bin").orderBy(number))
+    return rows.withColumn("_inside", inside).join(tops, same).select(*df.columns, F.coalesce("_inside", "_below").alias(out))
+
+
+def run_starts(df: DataFrame, by: list[str], number: str, most_gap: int, width: int = 1 << 16) -> DataFrame:
+    """Adds run_start: the first number of the row's run; a run ends where the next number is more than ``most_gap`` higher.
+
+    Dealt as in previous(); a bin without a start of its own before a row takes the last start of the bins below.
+    """
+    rows = previous(df, by, number, "_prev", width)
+    gap = F.col(number) - F.col("_prev")
+    rows = rows.withColumn("_start", F.when(gap.isNull() | (gap > most_gap), F.col(number))).withColumn("_bin", F.floor(F.col(number) / width))
+    names = [f"_by{i}" for i in range(len(by))]
+    last = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_bin").alias("_b")).agg(F.max("_start").alias("_s"))
+    last = last.withColumn("_carried", F.max("_s").over(W.partitionBy(*names).orderBy("_b").rowsBetween(*BEFORE))).drop("_s")
+    same = F.col("_bin").eqNullSafe(F.col("_b"))
+    for c, n in zip(by, names):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    own = F.max("_start").over(W.partitionBy(*by, "_bin").orderBy(number).rangeBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_own", own).join(last, same).select(*df.columns, F.coalesce("_own", "_carried").alias("run_start"))
+
+
 def hash_place(df: DataFrame, by: list[str], key: str, seed: str, out: str = "place") -> DataFrame:
     """Adds the row's place, from 1, in the seeded hash order of its ``by``; ties by ``key``."""
     h = S.order_key(seed, F.col(key))
@@ -70,12 +108,10 @@ def running_share(df: DataFrame, label: str, key: str, size: str, seed: str, per
 def quantile_cuts(df: DataFrame, value: str, k: int, bins: int = 4096) -> DataFrame:
     """One row: the distinct exact k-quantile cut points of the non-null values, with linear interpolation, as an array."""
     v = df.select(F.col(value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    wide = v.crossJoin(F.broadcast(ends))  # one row
-    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).otherwise(F.lit(0))
+    wide, part = spread(v, "v", bins)
     run = sum_before(wide, [], part, [F.col("v")], F.col("n"), "first")
     at = F.explode(F.sequence(F.lit(1), F.lit(k - 1)))
-    want = ends.select(at.alias("i"), "total").withColumn("rank", F.col("i") * (F.col("total") - 1) / k)
+    want = v.agg(F.sum("n").alias("total")).select(at.alias("i"), "total").withColumn("rank", F.col("i") * (F.col("total") - 1) / k)
     want = want.select("i", (F.col("rank") - F.floor("rank")).alias("f"), F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("r"), F.floor("rank").alias("low"))
     hit = run.join(F.broadcast(want), (F.col("r") >= F.col("first")) & (F.col("r") < F.col("first") + F.col("n")))  # 2 (k - 1) rows
     lo, hi = F.min("v"), F.max("v")
@@ -109,9 +145,8 @@ def share_report(rows: DataFrame, stratum: str, chosen: Column, num: int, den: i
 
 def gap_report(df: DataFrame, by: str, number: str, cap: int) -> DataFrame:
     """Per ``by``: distinct ids, gaps, gaps of more than ``cap`` missing ids, ids missing in the others, and runs."""
-    ids = df.select(by, number).distinct()
-    step = F.col(number) - F.lag(number).over(W.partitionBy(by).orderBy(number))
-    d = ids.withColumn("missing", step - 1)
+    ids = previous(df.select(by, number).distinct(), [by], number, "_prev")
+    d = ids.withColumn("missing", F.col(number) - F.col("_prev") - 1)
     gap = F.col("missing") > 0
     small = gap & (F.col("missing") <= cap)
     return d.groupBy(by).agg(

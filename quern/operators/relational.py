@@ -56,14 +56,6 @@ def distances(df: DataFrame, id_col: str, hash_col: str, radius: int, bits: int
     return same.union(near).groupBy("distance").agg(F.sum("pairs").alias("pairs"))
 
 
-def runs(df: DataFrame, by: list[str], number: str, most_gap: int = 1) -> DataFrame:
-    """Adds run_start: the first number of the row's run; a run ends where the next number is more than ``most_gap`` higher."""
-    w = W.partitionBy(*by).orderBy(number)
-    gap = F.col(number) - F.lag(number).over(w)
-    start = F.when(gap.isNull() | (gap > most_gap), F.col(number))
-    return df.withColumn("run_start", F.last(start, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-
-
 def stratified_sample(groups: DataFrame, group: str, stratum: str, size: int, seed: str) -> DataFrame:
     """Whole groups by stratum in seeded hash order; larger sizes contain smaller ones.  Adds G_h and n_h."""
     total = groups.agg(F.count(F.lit(1)).alias("population"))

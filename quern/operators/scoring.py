@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.ordered import hash_place, spread, sum_before
+
 
 def count_table(gold: DataFrame, predicted: DataFrame, unit: str, label: str) -> DataFrame:
     """(unit, label, tp, fp, fn) from two tables of distinct (unit, label)."""
@@ -29,11 +31,13 @@ def unit_jaccard(counts: DataFrame, unit: str) -> DataFrame:
 
 
 def average_precision(scored: DataFrame, score: str, positive: str) -> DataFrame:
-    """Non-interpolated average precision; rows of equal score count together."""
-    ties = scored.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(positive).alias("pos"))
-    w = W.orderBy(F.col(score).desc())  # one row for each distinct score
-    run = ties.select("pos", F.sum("n").over(w).alias("n"), F.sum("pos").over(w).alias("hits"))
-    return run.agg((F.sum(F.col("pos") * F.col("hits") / F.col("n")) / F.sum("pos")).alias("ap"))
+    """Non-interpolated average precision; rows of equal score count together, rows of null score not at all."""
+    ties = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(positive).alias("pos"))
+    wide, part = spread(ties, "s")
+    order = [F.col("s").desc()]
+    run = sum_before(sum_before(wide, [], -part, order, F.col("n"), "n0"), [], -part, order, F.col("pos"), "hits0")
+    hits, n = F.col("hits0") + F.col("pos"), F.col("n0") + F.col("n")
+    return run.agg((F.sum(F.col("pos") * hits / n) / F.sum("pos")).alias("ap"))
 
 
 def crosstab(df: DataFrame, bucket: Column, passed: Column) -> DataFrame:
@@ -49,20 +53,42 @@ def majority_set(df: DataFrame, by: str, unit: str, label: str) -> DataFrame:
     return n.groupBy(by).agg(F.min_by(F.struct("codes", "n"), F.struct((-F.col("n")).alias("m"), F.col("codes"))).alias("b")).select(by, "b.codes", "b.n")
 
 
-def bootstrap_ratio(units: DataFrame, group: str, num: str, den: str, draws: int, seed: str) -> DataFrame:
-    """Cluster bootstrap of sum(num) / sum(den): (draw, num, den) with whole groups drawn with replacement.
+def draw_multiplicities(groups: DataFrame, group: str, draws: int, seed: str) -> DataFrame:
+    """(draw, group, m): how often each draw takes each group, with replacement; groups that a draw does not take have no row.
 
-    Each draw has as many picks as there are groups; pick i of a draw takes the group whose number is a seeded hash modulo the number
-    of groups, so any engine with SHA-256 can repeat it.  Groups are first summed, then only (draw, group, times) rows are joined.
+    Each draw has as many picks as there are groups; pick i of a draw takes the group whose number, in seeded hash order, is a hash
+    of (draw, i) modulo the number of groups, so any engine with SHA-256 can repeat it.
     """
-    sums = units.groupBy(group).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
-    numbered = sums.withColumn("k", F.row_number().over(W.orderBy(group)) - 1)
-    n = sums.count()
+    numbered = hash_place(groups.select(group).distinct(), [], group, seed).withColumn("k", F.col("place") - 1)
+    n = groups.agg(F.count_distinct(group)).first()[0]
+    if not n:
+        return numbered.select(F.lit(0).cast("long").alias("draw"), group, F.col("place").alias("m"))
     key = F.sha2(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("i").cast("string")), 256)
     pick = F.conv(F.substr(key, F.lit(1), F.lit(12)), 16, 10).cast("long") % n
-    spark = units.sparkSession
-    picks = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("draw", pick.alias("k")).groupBy("draw", "k").agg(F.count(F.lit(1)).alias("m"))
-    return picks.join(numbered, "k").groupBy("draw").agg(F.sum(F.col("m") * F.col("num")).alias("num"), F.sum(F.col("m") * F.col("den")).alias("den"))
+    each = groups.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("i"))
+    picks = each.select("draw", pick.alias("k")).groupBy("draw", "k").agg(F.count(F.lit(1)).alias("m"))
+    return picks.join(numbered, "k").select("draw", group, "m")
+
+
+def bootstrap_ratio(units: DataFrame, group: str, num: str, den: str, draws: int, seed: str) -> DataFrame:
+    """Cluster bootstrap of sum(num) / sum(den): (draw, num, den) with whole groups drawn with replacement; groups are summed first."""
+    sums = units.groupBy(group).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
+    taken = draw_multiplicities(sums, group, draws, seed).join(sums, group)
+    return taken.groupBy("draw").agg(F.sum(F.col("m") * F.col("num")).alias("num"), F.sum(F.col("m") * F.col("den")).alias("den"))
+
+
+def macro_f1_draws(counts: DataFrame, group: str, label: str, labels: list[str], draws: int, seed: str) -> DataFrame:
+    """(draw, macro_f1) over a fixed list of labels, all drawn with the same groups; null if a draw leaves a label without support."""
+    sums = counts.where(F.col(label).isin(labels)).groupBy(group, label).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    taken = draw_multiplicities(counts, group, draws, seed).join(sums, group)
+    t = taken.groupBy("draw", label).agg(*[F.sum(F.col("m") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
+    f1 = F.when(F.col("tp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    return t.withColumn("f1", f1).groupBy("draw").agg(F.when(F.count("f1") == len(labels), F.avg("f1")).alias("macro_f1"))
+
+
+def seed_spread(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Per ``by`` the values' number, sample sd and coefficient of variation; null sd below two values."""
+    return df.groupBy(by).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), (F.stddev_samp(value) / F.avg(value)).alias("cv"))
 
 
 def rank_interval(draws: DataFrame, value: str) -> DataFrame:

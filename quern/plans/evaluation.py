@@ -175,3 +175,22 @@ def evaluate_map50(spark, d):
     gold = b.where("l_linestatus = 'F'").withColumnRenamed("id", "gold_id").select("label", "unit", "gold_id", "x1", "y1", "x2", "y2")
     hits = E.best_boxes(gold, b.withColumnRenamed("id", "pred_id").drop("l_linestatus"), ["label", "unit"], ["x1", "y1", "x2", "y2"])
     return E.ranked_precision(hits, gold, "label").select("label", F.round("ap", 9).alias("ap"))
+
+
+@query("""
+WITH g AS (SELECT l_suppkey AS g, l_returnflag AS label, sum((l_quantity > 15 AND l_quantity < 35)::INT) AS tp, sum((l_quantity <= 15)::INT) AS fp, sum((l_quantity >= 35)::INT) AS fn FROM lineitem GROUP BY 1, 2),
+k AS (SELECT g, row_number() OVER (ORDER BY sha256('m|' || g)) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM g)),
+p AS (SELECT draw, ('0x' || substr(sha256('m|' || draw || '|' || i), 1, 12))::BIGINT % (SELECT max(n) FROM k) AS k FROM range(20) t(draw), range(100000) u(i) WHERE i < (SELECT max(n) FROM k)),
+t AS (SELECT draw, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM p JOIN k USING (k) JOIN g USING (g) GROUP BY 1, 2)
+SELECT draw, round(CASE WHEN count(*) = 3 THEN avg(2 * tp / (2 * tp + fp + fn)) END, 9) AS macro_f1 FROM t GROUP BY 1""")
+def m1_draws(spark, d):
+    """Bootstrap draws of macro F1 by supplier."""
+    q = F.col("l_quantity")
+    c = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", ((q > 15) & (q < 35)).cast("int").alias("tp"), (q <= 15).cast("int").alias("fp"), (q >= 35).cast("int").alias("fn"))
+    return P.macro_f1_draws(c, "l_suppkey", "l_returnflag", ["A", "N", "R"], 20, "m").withColumn("macro_f1", F.round("macro_f1", 9))
+
+
+@query("SELECT o_custkey, count(o_totalprice) AS n, round(stddev_samp(o_totalprice), 3) AS sd, round(stddev_samp(o_totalprice) / avg(o_totalprice), 6) AS cv FROM orders GROUP BY 1")
+def seed_sd(spark, d):
+    s = P.seed_spread(table(spark, d, "orders"), "o_custkey", "o_totalprice")
+    return s.withColumn("sd", F.round("sd", 3)).withColumn("cv", F.round("cv", 6))

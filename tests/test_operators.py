@@ -132,6 +132,20 @@ def test_ledger_rows(spark):
     assert foreign_rows(rows, "r", 1, "c", "h").count() == 2
 
 
+def test_runs_across_bins(spark):
+    from quern.operators.ordered import run_starts
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", None]), x) for x in rng.sample(range(-200, 400), 300)] + [("b", 5)] * 3
+    want, last = Counter(), {}
+    for k, x in sorted(rows, key=lambda r: r[1]):
+        start, before = last.get(k, (x, x))
+        last[k] = (x if x - before > 3 else start, x)
+        want[k, x, last[k][0]] += 1
+    got = run_starts(spark.createDataFrame(rows, "k string, x long"), ["k"], "x", 3, 16).collect()
+    assert Counter((r.k, r.x, r.run_start) for r in got) == want
+
+
 def test_running_sums_with_null_keys(spark):
     from quern.operators.ordered import hash_place, quantile_cuts
 
