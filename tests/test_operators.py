@@ -163,3 +163,32 @@ def test_texts_with_nulls(spark):
     t = F.lit(None).cast("string")
     r = spark.range(1).select(T.clean_reason(t).alias("a"), T.facets(t, {"n": "[0-9]"}).alias("b"), T.page_ranges(F.array(F.lit(9), F.lit(1), F.lit(3), F.lit(9)).cast("array<bigint>")).alias("c"), T.anchored_verdict(t, [("x", "OK")]).alias("d"), T.last_digits(F.lit("a12b7c")).alias("e")).first()
     assert tuple(r) == ("", [], ["1-3", "9-9"], None, "7")
+
+
+def test_readers(spark, tmp_path):
+    from quern.sources.tables import policy_view, read_chunks, read_commented_csv, read_side
+
+    c = tmp_path / "c.csv"
+    c.write_text("# made by hand\n# twice\na,b\n1,x\n2,\n")
+    assert [tuple(r) for r in read_commented_csv(spark, str(c), "a int, b string").collect()] == [(1, "x"), (2, None)]
+    j = tmp_path / "j.jsonl"
+    j.write_text('{"_meta": {"v": 1}}\n{"id": "a", "t": "x"}\n{"id": "b", "t": null}\n')
+    assert sorted(tuple(r) for r in read_chunks(spark, str(j), "id string, t string", "id").collect()) == [("a", "x"), ("b", None)]
+    j.write_text('{"id": "a"}\n{"id": "a"}\n')
+    with pytest.raises(ValueError, match="repeated"):
+        read_chunks(spark, str(j), "id string", "id")
+    j.write_text('{"_meta": 1}\n{"_meta": 2}\n')
+    with pytest.raises(ValueError, match="header"):
+        read_chunks(spark, str(j), "id string", "id")
+    s = tmp_path / "s.csv"
+    s.write_text("image_id,stratum,G_h,n_h\ni1,a,3,2\ni2,a,3,2\ni3,b,1,1\n")
+    assert read_side(spark, str(s)).count() == 3
+    for bad in ("i1,a,3,4\n", "i1,a,3,2\ni2,a,3,1\n", "i1,a,3,2\ni1,a,3,2\n"):
+        s.write_text("image_id,stratum,G_h,n_h\n" + bad)
+        spark.catalog.clearCache()
+        with pytest.raises(ValueError):
+            read_side(spark, str(s))
+    df = spark.createDataFrame([("i", "eval", 1), ("j", "train", 2)], "id string, split string, n int")
+    assert [tuple(r) for r in policy_view(df, ["id", "n"], ["train"], "eval", ["id"]).collect()] == [("j", 2)]
+    with pytest.raises(ValueError, match="not shown"):
+        policy_view(df, ["id", "n"], ["train", "eval"], "eval", ["id"])
