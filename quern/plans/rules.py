@@ -51,6 +51,14 @@ def token_symmetry(spark, d):
     return R.one_sided(p, "a", "b")
 
 
+@query("""
+WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)
+SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a)""")
+def token_symmetry_whole(spark, d):
+    """All (supplier, part) pairs of the table; ``token_symmetry`` and its SQL fold the keys to 40 and read large quantities only."""
+    return R.one_sided(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")), "a", "b")
+
+
 @query("""
 SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), ';') AS p_type, CASE WHEN count(lo) = count(*) THEN min(lo) END AS lo, CASE WHEN count(hi) = count(*) THEN max(hi) END AS hi,
 CASE WHEN count(DISTINCT scope) = 1 THEN min(scope) ELSE 'mixed' END AS scope FROM (SELECT p_brand, p_type, p_size AS lo, nullif(p_size, 50) AS hi, CASE WHEN p_size > 49 THEN 'b' ELSE 'a' END AS scope FROM part) GROUP BY 1""")
