@@ -20,16 +20,19 @@ at least ``num/den``.  The join is a prefix-filter join:
    no link between different components can be missed, and no cap holds.
 4. *Verify.* Each pair once: a suffix filter (halving the sets around a
    middle element bounds their overlap), then the exact size of the intersection.
+5. *Count.* Linked sets are of one component, so with the components known the links of all
+   sets are counted by comparing the sets of each component in blocks, exactly and without a cap.
 
 Defined results: null or wordless text has no n-gram and links with nothing;
 a text of fewer than n words has one element, its whole sequence; repeated rows give repeated
-rows; a null id gets a row with null component and links with nothing; an empty
-table gives an empty one.  n-grams are compared by a 64-bit hash.
+rows; a null id gets a row with null component and links with nothing; an id with several texts
+is one document that links by each of them; an empty table gives an empty one.  n-grams are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +49,7 @@ from ._words import U, Words, chunks, release, text_buffers
 SKETCH_BITS = 21  # counters of the frequency sketch: 2 bytes each in a task, 4 after merging
 SLICES = 64
 BLOOM_BITS = 26
+BLOCK = 1 << 18  # n-grams of a block of sets that meets another when links are counted
 VERIFY_BYTES = 16 << 20  # of the pairs of sets that a Python worker gets at a time
 
 
@@ -94,7 +98,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles (long), component_id (smallest id reachable by links), verified_links.
 
-    verified_links: links of the class of equal sets to other sets that the rounds verified; not all links, which components do not need.
+    verified_links: all other documents (ids) whose set reaches num/den, those with an equal set among them.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -267,15 +271,16 @@ def near_duplicates(
             comp = written(comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "component"), "comp")
         pivots *= 8
 
-    by_class = classes
+    copies = written(rep_of.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    by_class = classes.join(copies, "rep", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
     if comp is None:
-        by_class = by_class.select("digest", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("verified_links"))
+        by_class = by_class.select("digest", F.col("rep").alias("component_id"), F.col("copies").alias("verified_links"))
     else:
-        degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("verified_links"))
+        counts = written(_link_counts(comp, meta.where("digest is not null and doc_id is not null"), copies, sets, num, den), "link-counts")
         by_class = (
             by_class.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            .join(degree, "rep", "left")
-            .select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links"))
+            .join(counts, "rep", "left")
+            .select("digest", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") + F.coalesce("links", F.lit(0))).alias("verified_links"))
         )
     linked = meta.where("digest is not null and doc_id is not null").join(by_class, "digest")
     alone = meta.where("digest is null or doc_id is null")
@@ -375,3 +380,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         .mapInArrow(check, "a long, b long")
         .distinct()
     )
+
+
+def _link_counts(comp: DataFrame, meta: DataFrame, copies: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, links): the documents of all other sets that reach num/den, for each set of a component.
+
+    Small components are packed into blocks, each compared in whole.  A large one is cut into bands of sizes, so wide that
+    sets two bands apart cannot link, and bands into blocks by hash; each two blocks of a band or of neighbouring bands meet once.
+    """
+    near = comp.select("component", F.col("node").alias("doc_id"))
+    nodes = meta.join(bounded(near), "doc_id").groupBy("component", "doc_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    nodes = nodes.join(bounded(copies.withColumnRenamed("rep", "doc_id")), "doc_id", "left").withColumn("docs", F.coalesce("copies", F.lit(0)) + 1).drop("copies")
+    nodes = written(nodes, "link-nodes")
+    # An id with texts of several sizes has no band.
+    whole = nodes.groupBy("component").agg(F.sum("most").alias("total"), F.max(F.col("least") < F.col("most")).alias("mixed"))
+    whole = written(whole.withColumn("small", F.col("total") <= BLOCK), "link-components")
+    packs = max(1, -(-(whole.where("small").agg(F.sum("total")).first()[0] or 0) // BLOCK))
+    width = math.log(1.001 * den / num)
+    band = F.when(F.col("small") | F.col("mixed"), 0).otherwise(F.floor(F.log("most") / width).cast("int"))
+    placed = nodes.join(bounded(whole), "component").withColumn("band", band)
+    large = placed.where("not small")
+    blocks = written(large.groupBy("component", "band").agg(F.ceil(F.sum("most") / BLOCK).cast("int").alias("k")), "link-blocks")
+    for name, step in (("k", 0), ("k_next", 1), ("k_prev", -1)):
+        large = large.join(bounded(blocks.select("component", (F.col("band") - step).alias("band"), F.col("k").alias(name))), ["component", "band"], "left")
+    i, one = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"), F.lit(1)
+    meet = lambda k, f: F.when(F.col(k).isNull(), F.array().cast("array<struct<kind: int, band: int, i: int, j: int, later: boolean>>")).otherwise(F.transform(F.sequence(F.lit(0), F.col(k) - 1), f))
+    at = lambda kind, b, x, y, later: F.struct(F.lit(kind).alias("kind"), b.alias("band"), x.alias("i"), y.alias("j"), later.alias("later"))
+    meetings = F.concat(
+        meet("k", lambda j: at(0, F.col("band"), F.least(i, j), F.greatest(i, j), i > j)),
+        meet("k_next", lambda j: at(1, F.col("band"), i, j, F.lit(False))),
+        meet("k_prev", lambda j: at(1, F.col("band") - one, j, i, F.lit(True))),
+    )
+    zero = F.lit(0)
+    places = large.select("doc_id", "docs", F.col("component").alias("pack"), F.inline(meetings)).union(
+        placed.where("small").select("doc_id", "docs", F.pmod(F.xxhash64("component"), F.lit(packs)).alias("pack"), F.lit(2), zero, zero, zero, F.lit(False))
+    )
+    places = written(places.withColumnRenamed("doc_id", "doc"), "link-places")
+
+    def count(key, rows: pd.DataFrame) -> pd.DataFrame:
+        alone = key[1] == 2 or (key[1] == 0 and key[3] == key[4])
+        grams = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
+        size = np.array([len(x) for x in grams], np.int64)
+        ids, doc = np.unique(rows["doc"].to_numpy(), return_inverse=True)
+        weight = np.zeros(len(ids), np.int64)
+        weight[doc] = rows["docs"].to_numpy()
+        later = rows["later"].to_numpy().astype(bool)
+        left, right = np.flatnonzero(~later), np.flatnonzero(~later if alone else later)
+        pairs = []
+        if len(left) and len(right):
+            tok, own = np.concatenate([grams[x] for x in left]), np.repeat(np.arange(len(left)), size[left])
+            order = np.argsort(tok, kind="stable")
+            tok, own = tok[order], own[order]
+            start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+            held, lists = tok[start], np.diff(np.append(start, len(tok)))
+            for r in right:
+                to = np.minimum(np.searchsorted(held, grams[r]), len(held) - 1)
+                to = to[held[to] == grams[r]]
+                many = lists[to]
+                each = np.repeat(start[to] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                both = np.bincount(own[each], minlength=len(left))
+                other = doc[left[both >= _jaccard_need(size[left], size[r], num, den)]]
+                pairs.append(np.unique(np.minimum(other, doc[r]) * len(ids) + np.maximum(other, doc[r])))
+        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        a, b = pairs // len(ids), pairs % len(ids)
+        a, b = a[a < b], b[a < b]
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, a, weight[b])
+        np.add.at(links, b, weight[a])
+        release()
+        return pd.DataFrame({"rep": ids[links > 0], "links": links[links > 0]})
+
+    met = sets.where("length(grams) > 0").join(bounded(places), "doc")
+    counted = met.groupBy("pack", "kind", "band", "i", "j").applyInPandas(count, "rep long, links long")
+    return counted.groupBy("rep").agg(F.sum("links").alias("links"))
