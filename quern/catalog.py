@@ -131,6 +131,16 @@ def interval_faults(spark, d):
     return R.interval_faults(i, ["s"])
 
 
+@_query("""
+WITH i AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS lo, l_partkey + 40 AS hi FROM lineitem),
+b AS (SELECT *, max(hi) OVER (PARTITION BY s ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i)
+SELECT s, lo, hi, CASE WHEN lo > before THEN 'gap' ELSE 'overlap' END AS fault FROM b WHERE lo <> before""")
+def interval_faults_whole(spark, d):
+    """The distinct intervals of all lines; ``interval_faults`` and its SQL read first lines only."""
+    i = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + 40).alias("hi")).distinct()
+    return R.interval_faults(i, ["s"])
+
+
 @_query("""
 WITH b AS (SELECT l_orderkey AS o, l_linenumber AS n, l_linenumber * 3 AS x1, l_linenumber * 2 AS y1, l_linenumber * 3 + CAST(l_quantity AS BIGINT) AS x2, l_linenumber * 2 + 20 AS y2 FROM lineitem),
 p AS (SELECT a.o, a.n AS a, c.n AS b, greatest(least(a.x2, c.x2) - greatest(a.x1, c.x1), 0) * greatest(least(a.y2, c.y2) - greatest(a.y1, c.y1), 0) AS i,
