@@ -32,7 +32,7 @@ PATTERNS: dict[str, str] = {
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without any of these characters or words has no entity.
-HINT = r"[0-9@]|\b(?:M[rsi]|Herr|Frau|Señor|Monsieur|Madame|Госп)|[0-9a-fA-F]{32}"
+HINT = r"[0-9@]|\b(?:M[rsi]|Herr|Frau|Señor|Monsieur|Madame|Госп)|[0-9a-fA-F]{32}|(?:sk|pk|ghp|AKIA)[_\-]?[A-Za-z0-9]{16}"
 TITLE = r"^(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? "
 # Names by script and gender.
 FIRST = {

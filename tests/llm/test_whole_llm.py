@@ -31,3 +31,18 @@ def test_all_links(spark, monkeypatch, block):
     want = {i: sum(4 * len(a & b) >= 3 * len(a | b) for j, b in sets.items() if j != i) for i, a in sets.items()} | {60: 0, 61: 0}
     got = {x.doc_id: x.verified_links for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and max(want.values()) > 3
+
+
+def test_hint_loses_no_entity(spark):
+    """Each kind of entity, secrets of letters only among them, passes the prefilter and is replaced."""
+    from quern.llm.pii import ANY, HINT, pseudonymise
+
+    titles = "Mr Mrs Ms Miss Herr Frau Señor Señora Monsieur Madame Господин Госпожа".split()
+    secrets = [p + s + "ABCDEFGHIJKLMNOP" for p in ("sk", "pk", "ghp", "AKIA") for s in ("", "_", "-")] + ["abcdefABCDEF" * 3]
+    found = [f"{t} Анна" for t in titles] + secrets + ["a@b.cd", "1234 5678 1234 5678", "555-123-4567", "123-45-6789", "10.0.0.1"]
+    rows = [(i, f"token {x} here") for i, x in enumerate(found)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.where(F.col("text").rlike(ANY)).count() == len(rows)
+    assert df.where(F.col("text").rlike(ANY) & ~F.col("text").rlike(HINT)).count() == 0
+    out = {r.doc_id: r for r in pseudonymise(df).collect()}
+    assert all(out[i].n_entities == 1 and found[i] not in out[i].text for i, _ in rows)
