@@ -68,6 +68,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the bytes of ``df``, without a job, 1 GB if it has none; for sizes that change costs only, never results."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 1 << 30
+
+
+def bits_for(wanted: int, least: int, most: int) -> int:
+    """The bits of a number of at least ``wanted`` places, held between ``least`` and ``most``."""
+    return min(max(max(wanted, 1).bit_length(), least), most)
+
+
 @contextlib.contextmanager
 def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
     """Inside, tables that are written get Arrow batches of at most about ``most`` bytes."""
@@ -80,11 +91,13 @@ def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quern/" in path:
+def drop(*tables: DataFrame | None) -> None:
+    """Delete the files of tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles() if "/quern/" in f}:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 

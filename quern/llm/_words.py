@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 CHUNK_BYTES = (1 << 19) - 1
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
 @lru_cache(maxsize=4)
@@ -29,26 +29,6 @@ def _tables(lower: bool) -> np.ndarray:
     return lut
 
 
-_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least; one table of each base is held."""
-    if base not in _held or len(_held[base][0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        _held.pop(base, None)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.ones(size, U)
-            filled = 1
-            while filled < size:
-                p[filled : 2 * filled] = p[:filled] * U(pow(b, filled, 1 << 64))
-                filled *= 2
-            out.append(p)
-        _held[base] = (out[0], out[1])
-    return _held[base]
-
-
 def release() -> None:
     """Give memory that was freed back to the system; a worker lives on after a task."""
     with contextlib.suppress(OSError, AttributeError):
@@ -66,6 +46,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from those of its two parts; for either part given, a bijection of the other."""
+    return mix(a + (b ^ (b >> U(31))) * U(0xD6E8FEB86659FD93))
+
+
+def runs(w: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+    """Hashes of all runs of n word hashes, across documents too.
+
+    Runs are joined from two halves, which overlap where n is no power of two.  A sum of multiples of the words, modulo 2**64,
+    would do with fewer steps, but different sequences of a regular build have equal sums then.
+    """
+    if len(w) < n:
+        return np.zeros(0, U)
+    h, m = mix(w ^ U(salt)), 1
+    while 2 * m <= n:
+        h, m = join(h[:-m], h[m:]), 2 * m
+    return join(h[: len(h) - (n - m)], h[n - m :]) if m < n else h
+
+
+def _word_hashes(b: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``length`` bytes at ``start``: every block of eight bytes is mixed with its number, then added."""
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    eight = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))
+    key = mix(np.zeros(1, U))
+    total = mix((eight[start] & _MASKS[np.minimum(length, 8)]) + key)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        n = (length[long] - 1) >> 3  # further blocks
+        first = np.cumsum(n) - n
+        j = np.arange(n.sum()) - np.repeat(first, n) + 1
+        block = eight[np.repeat(start[long], n) + 8 * j] & _MASKS[np.minimum(np.repeat(length[long], n) - 8 * j, 8)]
+        total[long] += np.add.reduceat(mix(block + mix(np.arange(n.max() + 1, dtype=U))[j]), first)
+    return mix(total + length.astype(U))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; null counts as empty."""
     column = column.cast(pa.large_string())
@@ -105,10 +121,7 @@ class Words:
         edges = docs[1:][docs[1:] > 0] - 1
         last[edges] |= solid[edges]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        p, q = powers(_BASE, len(b) + 1)
-        s = np.zeros(len(b) + 1, U)
-        np.cumsum((b.astype(U) + U(1)) * p[: len(b)], out=s[1:])
-        self.hash = mix((s[ends] - s[starts]) * q[starts] + (ends - starts).astype(U))
+        self.hash = _word_hashes(b, starts, ends - starts)
         self.first = np.searchsorted(starts, docs).astype(np.int64)  # n_docs + 1 places in hash
         self.count = np.diff(self.first)
 
@@ -122,10 +135,7 @@ class Words:
         places = np.concatenate(([0], np.cumsum(per)))
         if len(w) < n:
             return np.zeros(0, U), places
-        p, q = powers(_STEP + 2 * salt, len(w) + 1)
-        s = np.zeros(len(w) + 1, U)
-        np.cumsum(w * p[: len(w)], out=s[1:])
-        g = mix((s[n:] - s[:-n]) * q[: len(w) - n + 1] + U(n + salt))
+        g = runs(w, n, salt)
         where = np.arange(len(g))
         doc = np.searchsorted(self.first, where, "right") - 1
         return g[where + n <= self.first[doc + 1]], places
@@ -138,7 +148,9 @@ class Words:
                 yield np.unique(g[places[d] : places[d + 1]])
             elif self.count[d]:
                 w = self.hash[self.first[d] : self.first[d + 1]]
-                p = powers(_STEP, n)[0][: len(w)]
-                yield mix(np.array([(w * p).sum(dtype=U) + U(len(w))], U))
+                whole = w[:1]
+                for k in range(1, len(w)):
+                    whole = join(whole, w[k : k + 1])
+                yield mix(whole + U(len(w)))
             else:
                 yield np.zeros(0, U)

@@ -4,12 +4,14 @@ Two documents link when the Jaccard similarity of their sets of word n-grams is
 at least ``num/den``.  The join is a prefix-filter join:
 
 1. *Order.* Every partition counts document frequencies of its n-grams in a
-   count sketch of fixed size; the merged sketch orders all n-grams rare first
-   (estimate, then hash).  Any one order is right; a rare-first one makes the
+   count sketch (2**21 to 2**23 counters, by the size of the input); the sketches, merged in two levels, order all n-grams
+   rare first (estimate, then hash).  Any one order is right; a rare-first one makes the
    posting lists short.
 2. *Prefix.* Sets of n elements that reach the threshold share one of their
    first ``n - ceil(n*num/den) + 1`` elements.  Only these are dealt out, packed
-   by hash bucket, and n-grams that one document alone has are dropped there.
+   by hash bucket, and n-grams that one document alone has are dropped there.  N-grams
+   that may be in ``hot`` documents or more (the estimate is an upper bound) skip this: they are dealt out by
+   document, so no bucket holds a long list.
    Of documents with equal sets in one batch, one emits its prefix, so a group
    of copies reaches the shuffle once for a batch.
 3. *Pairs.* Documents that share a prefix n-gram are candidates if the length
@@ -38,17 +40,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import arrow_bytes, bounded, few, ship, written
-from ._words import U, Words, chunks, release, text_buffers
+from ._store import arrow_bytes, bits_for, bounded, drop, few, plan_bytes, ship, written
+from ._words import U, Words, chunks, mix, release, text_buffers
 
-SKETCH_BITS = 21  # counters of the frequency sketch: 2 bytes each in a task, 4 after merging
+SKETCH_BITS = 21, 23  # least and most counters of the frequency sketch: 2 bytes each in a task, 4 after merging
 SLICES = 64
-BLOOM_BITS = 26
+BUNCH = 256  # partition sketches that are merged at a time
+BLOOM_BITS = 26, 29  # least and most
+BLOOM_PLACES = 4  # of the filter for a document at least; texts are joined instead where the largest filter has fewer
+BUCKET_DOCS = 32_768  # documents with n-grams in a bucket, about 1 KB each
 BLOCK = 1 << 18  # n-grams of a block of sets that meets another when links are counted
 VERIFY_BYTES = 16 << 20  # of the pairs of sets that a Python worker gets at a time
 
@@ -66,19 +72,6 @@ def _digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _bucket_rows(keys: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray]) -> Iterator[dict]:
-    """Packed columns for each bucket of the keys."""
-    b = (keys >> U(20)) % U(n_buckets)
-    order = np.argsort(b.astype(np.uint16 if n_buckets < 65536 else np.int64), kind="stable")
-    b = b[order]
-    cuts = np.flatnonzero(np.diff(b)) + 1
-    starts = np.concatenate(([0], cuts)) if len(b) else cuts
-    ends = np.concatenate((cuts, [len(b)])) if len(b) else cuts
-    packed = {k: v[order] for k, v in columns.items()}
-    for i, j in zip(starts, ends):
-        yield {"bucket": int(b[i])} | {k: v[i:j].tobytes() for k, v in packed.items()}
-
-
 def _jaccard_need(a, b, num: int, den: int):
     """Least intersection of sets of a and b elements that reach num/den: ceil(num * (a + b) / (num + den))."""
     return -((-num * (a + b)) // (num + den))
@@ -94,8 +87,8 @@ def _suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4, pivots: int = 1
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4, pivots: int = 1, hot: int = 50_000
+) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles (long), component_id (smallest id reachable by links), verified_links.
 
     verified_links: all other documents (ids) whose set reaches num/den, those with an equal set among them.
@@ -103,8 +96,10 @@ def near_duplicates(
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    width = 1 << SKETCH_BITS
+    sketch_bits = bits_for(plan_bytes(docs) // 512, *SKETCH_BITS)
+    width = 1 << sketch_bits
     per_slice = width // SLICES
+    place = lambda s: (s >> U(64 - sketch_bits)).astype(np.int64)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(width, np.uint32)
@@ -116,41 +111,42 @@ def near_duplicates(
                 pending.append(s)
                 held += len(s)
                 if held > 1_000_000:
-                    sketch += np.bincount((np.concatenate(pending) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=width).astype(np.uint32)
+                    sketch += np.bincount(place(np.concatenate(pending)), minlength=width).astype(np.uint32)
                     pending, held = [], 0
             if held:
-                sketch += np.bincount((np.concatenate(pending) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=width).astype(np.uint32)
+                sketch += np.bincount(place(np.concatenate(pending)), minlength=width).astype(np.uint32)
             m = len(batch)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                names=["doc_id", "n", "digest", "slice", "counts"],
+                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                names=["doc_id", "n", "digest", "slice", "bunch", "counts"],
             )
         parts = [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(sketch, SLICES) if x.any()]
         which = [i for i, x in enumerate(np.split(sketch, SLICES)) if x.any()]
         m = len(which)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(which, pa.int32()), pa.array(parts, pa.binary())],
-            names=["doc_id", "n", "digest", "slice", "counts"],
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(which, pa.int32()), pa.array([TaskContext.get().partitionId() // BUNCH] * m, pa.int32()), pa.array(parts, pa.binary())],
+            names=["doc_id", "n", "digest", "slice", "bunch", "counts"],
         )
 
-    surveyed = written(docs.mapInArrow(survey, "doc_id long, n long, digest binary, slice int, counts binary"), "survey")
+    surveyed = written(docs.mapInArrow(survey, "doc_id long, n long, digest binary, slice int, bunch int, counts binary"), "survey")
 
     def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(per_slice, np.uint32)
         for x in rows["counts"]:
-            total += np.frombuffer(x, np.uint16)
+            total += np.frombuffer(x, np.uint16 if len(x) == 2 * per_slice else np.uint32)
         return pd.DataFrame({"slice": [key[0]], "counts": [total.tobytes()]})
 
-    merged = surveyed.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(merge, "slice int, counts binary")
+    merged = surveyed.where("slice is not null").select("slice", "bunch", "counts").groupBy("slice", "bunch").applyInPandas(merge, "slice int, counts binary")
+    merged = merged.groupBy("slice").applyInPandas(merge, "slice int, counts binary")
     order_by = np.zeros(width, np.uint32)
-    for r in merged.collect():  # SLICES rows, 4 bytes a counter: 8 MB at any input size
+    for r in merged.collect():  # SLICES rows, 4 bytes a counter: 32 MB at most
         order_by[r["slice"] * per_slice : (r["slice"] + 1) * per_slice] = np.frombuffer(r["counts"], np.uint32)
     shared_order = spark.sparkContext.broadcast(order_by)
     meta = surveyed.where("slice is null").select("doc_id", "n", "digest")
     classes = written(
         meta.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes"
     )
-    n_buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = max(4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), meta.count() // BUCKET_DOCS)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         est = shared_order.value
@@ -158,33 +154,35 @@ def near_duplicates(
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             known = np.asarray(batch.column(0).is_valid())
             seen: dict[bytes, int] = {}
-            toks, owner, sizes, held = [], [], [], 0
+            toks, often, owner, sizes, held = [], [], [], [], 0
             for row, s in _sets(batch, n):
                 if not len(s) or not known[row]:
                     continue
                 if seen.setdefault(_digest(s), int(ids[row])) != int(ids[row]):
                     continue
                 p = len(s) - (-(-len(s) * num // den)) + 1
-                ordered = s[np.argsort(est[(s >> U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:p]]
-                toks.append(ordered)
+                much = est[place(s)]
+                first = np.argsort(much, kind="stable")[:p]
+                toks.append(s[first])
+                often.append(much[first] >= hot)
                 owner.append(int(ids[row]))
                 sizes.append(len(s))
                 held += p
                 if held > 500_000:
-                    yield _prefix_batch(toks, owner, sizes, n_buckets)
-                    toks, owner, sizes, held = [], [], [], 0
+                    yield _prefix_batch(toks, often, owner, sizes, n_buckets)
+                    toks, often, owner, sizes, held = [], [], [], [], 0
             if toks:
-                yield _prefix_batch(toks, owner, sizes, n_buckets)
+                yield _prefix_batch(toks, often, owner, sizes, n_buckets)
         release()
 
-    def shared(rows: pd.DataFrame) -> pd.DataFrame:
+    def shared(key, rows: pd.DataFrame) -> pd.DataFrame:
         tok = np.frombuffer(b"".join(rows["tok"]), np.uint64)
         doc = np.frombuffer(b"".join(rows["doc"]), np.int64)
         size = np.frombuffer(b"".join(rows["size"]), np.int32)
         pos = np.frombuffer(b"".join(rows["pos"]), np.int32)
         order = np.argsort(tok, kind="stable")
         tok, doc, size, rest = tok[order], doc[order], size[order].astype(np.int64), (size[order] - pos[order]).astype(np.int64)
-        for _ in range(2):
+        for _ in range(2 if key[0] >= 0 else 0):
             # Documents that share too little, from this n-gram on, with even the smallest set of the list; then lists of one.
             new = np.append(True, tok[1:] != tok[:-1])[: len(tok)]
             start = np.flatnonzero(new)
@@ -196,7 +194,7 @@ def near_duplicates(
         release()
         return pd.DataFrame({"tok": tok.view(np.int64), "doc": doc, "size": size.astype(np.int32), "rest": rest.astype(np.int32)})
 
-    packed = docs.mapInArrow(prefixes, "bucket int, tok binary, doc binary, size binary, pos binary")
+    packed = docs.mapInArrow(prefixes, "bucket long, tok binary, doc binary, size binary, pos binary")
     postings = packed.groupBy("bucket").applyInPandas(shared, "tok long, doc long, size int, rest int")
     # Equal sets stand as one: documents become the smallest document with the same set.
     rep_of = written(
@@ -228,6 +226,7 @@ def near_duplicates(
         live = written(live.join(lists.select("tok", "least", "p"), "tok").where(enough).drop("least"), "live")
         if live.isEmpty():
             break
+        lead = None
         if pivots == 1:
             # One pivot has come with the list, so nothing is dealt out again.
             met = live.where("doc <> p.doc").select("tok", "doc", "size", "rest", "comp", *[F.col(f"p.{c}").alias("a_" + c) for c in ("doc", "size", "rest", "comp")])
@@ -264,8 +263,11 @@ def near_duplicates(
         with arrow_bytes(spark, VERIFY_BYTES):
             found = written(_verified(pairs, sets, num, den), "links")
         links = found if links is None else links.union(found)
-        done = pairs if done is None else written(done.union(pairs), "done")
-        postings = written(left, "postings")  # a pivot has met its whole list
+        before, done = (done, pairs) if done is None else (done, written(done.union(pairs), "done"))
+        if before is not None:
+            drop(before, pairs)
+        used, postings = postings, written(left, "postings")  # a pivot has met its whole list
+        drop(used, live, lead, wanted)
         if comp is None or not found.isEmpty():
             comp = few(written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "nodes"))
             comp = written(comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "component"), "comp")
@@ -282,6 +284,7 @@ def near_duplicates(
             .join(counts, "rep", "left")
             .select("digest", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") + F.coalesce("links", F.lit(0))).alias("verified_links"))
         )
+    drop(postings, live, done, sets, links)
     linked = meta.where("digest is not null and doc_id is not null").join(by_class, "digest")
     alone = meta.where("digest is null or doc_id is null")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "verified_links").union(
@@ -289,37 +292,43 @@ def near_duplicates(
     )
 
 
-def _prefix_batch(toks: list, owner: list, sizes: list, n_buckets: int) -> pa.RecordBatch:
+def _prefix_batch(toks: list, often: list, owner: list, sizes: list, n_buckets: int) -> pa.RecordBatch:
+    """Packed by bucket of the n-gram; very frequent ones by one of the document, in buckets of negative number."""
     per = np.array([len(t) for t in toks])
-    tok = np.concatenate(toks)
+    tok, doc, much = np.concatenate(toks), np.repeat(np.array(owner, np.int64), per), np.concatenate(often)
     pos = np.arange(len(tok), dtype=np.int64) - np.repeat(np.cumsum(per) - per, per)
-    rows = list(
-        _bucket_rows(
-            tok,
-            n_buckets,
-            {"tok": tok, "doc": np.repeat(np.array(owner, np.int64), per), "size": np.repeat(np.array(sizes, np.int32), per), "pos": pos.astype(np.int32)},
-        )
-    )
-    return pa.RecordBatch.from_pylist(
-        rows, schema=pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("tok", "doc", "size", "pos")])
-    )
+    bucket = ((tok >> U(20)) % U(n_buckets)).astype(np.int64)
+    bucket[much] = -1 - (mix(doc[much].view(U)) % U(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    columns = [x[order] for x in (tok, doc, np.repeat(np.array(sizes, np.int32), per), pos.astype(np.int32))]
+    packed = [pa.array([c[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(bucket)))], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), *packed], names=["bucket", "tok", "doc", "size", "pos"])
 
 
-def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
-    from ._words import mix
-
+def _bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(ids.astype(np.int64).view(np.uint64))
-    return [(mix(h + U(k)) >> U(64 - BLOOM_BITS)).astype(np.int64) for k in range(2)]
+    return [(mix(h + U(k)) >> U(64 - bits)).astype(np.int64) for k in range(2)]
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(doc, grams) of the wanted documents and a few others, once for each row; grams: packed sorted 64-bit hashes."""
     spark = docs.sparkSession
+    n_wanted = wanted.count()
+    bloom_bits = bits_for(2 * BLOOM_PLACES * n_wanted, *BLOOM_BITS)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in _sets(batch, n)], pa.binary())], names=["doc", "grams"])
+
+    if BLOOM_PLACES * n_wanted > 1 << bloom_bits:
+        return docs.join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "doc long, grams binary")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        bits = np.zeros(1 << bloom_bits, bool)
         for batch in batches:
-            for at in _bloom_places(batch.column(0).to_numpy()):
+            for at in _bloom_places(batch.column(0).to_numpy(), bloom_bits):
                 bits[at] = True
         for i, part in enumerate(np.split(bits, SLICES)):
             if part.any():
@@ -332,9 +341,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         return pd.DataFrame({"slice": [key[0]], "bits": [out.tobytes()]})
 
     parts = wanted.coalesce(8).mapInArrow(fill, "slice int, bits binary").groupBy("slice").applyInPandas(either, "slice int, bits binary")
-    bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+    bits = np.zeros((1 << bloom_bits) // 8, np.uint8)
     per = len(bits) // SLICES
-    for r in parts.collect():  # 8 MB at any input size
+    for r in parts.collect():  # 64 MB at most
         bits[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
@@ -344,12 +353,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy()
             ok = np.ones(len(ids), bool)
-            for at in _bloom_places(ids):
+            for at in _bloom_places(ids, bloom_bits):
                 ok &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             batch = batch.filter(pa.array(ok))
             if len(batch):
-                made = [s.tobytes() for _, s in _sets(batch, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc", "grams"])
+                yield from sets(iter([batch]))
 
     return docs.mapInArrow(make, "doc long, grams binary")
 

@@ -10,14 +10,15 @@ are judged on the input.
    count-min sketch of anchors overestimates window counts while it gets only
    two keys for about ``window - gram`` windows.  Each partition counts its own
    sketch (two hash rows, counters that stop at 2); partition sketches travel in
-   sparse form and are merged by adding.
+   sparse form and are merged by adding, first those of ``BUNCH`` partitions, then these.
 2. *Exact grouping* of the windows whose estimate is two or more, by 96 bits of
-   hash.  Windows that a smaller document of the same batch has are decided
-   there, so one window reaches the shuffle once for a batch at most, however many
-   copies there are; the rest is dealt out packed by bucket of the anchor.
+   hash.  Windows that a smaller document of the same ``HELD_WINDOWS`` has are decided
+   there; the rest is dealt out packed by bucket of the anchor.  Of large inputs windows are decided among
+   those of ``BUNCH`` partitions first, so that a passage that very many documents share comes to its bucket once for so many partitions.
 
-The sketch has a fixed size (``bits``); when the input has far more anchors
-than counters it lets more windows through and loses none.
+The sketch grows with the input from 2**26 to 2**29 counters a row; when the input has far more anchors
+than counters it lets more windows through and loses none.  Words are compared by 64 bits of hash, in which every
+eight bytes are mixed on their own, and windows by 96.
 
 Defined results: null text has no words; a text shorter than the window loses nothing; rows
 with null id neither remove nor lose words; rows of equal id (repeated rows) do not remove from each
@@ -31,13 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ship, written
-from ._words import U, Words, chunks, mix, release, text_buffers
+from ._store import bits_for, plan_bytes, ship, written
+from ._words import U, Words, chunks, mix, release, runs, text_buffers
 
 SLICES = 64
+BUNCH = 256  # partitions whose sketches are merged, or whose windows are decided, together first
+BUNCH_BYTES = 32 << 30  # of smaller inputs all partitions are one bunch
 HELD_WINDOWS = 400_000  # windows that a worker decides among at a time, 40 bytes each
 
 
@@ -48,7 +52,7 @@ def _anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     doc = np.repeat(np.arange(words.n_docs), words.count)
     at = np.flatnonzero(doc[: len(w) - window + 1] == doc[window - 1 :])
-    least = _runs(w, gram, 0)
+    least = runs(w, gram)
     span, reach = window - gram + 1, 1
     while reach * 2 <= span:
         least = np.minimum(least[:-reach], least[reach:])
@@ -59,21 +63,11 @@ def _anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return at, doc[at], least[at]
 
 
-def _runs(w: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """Hashes of all runs of n words, across documents too."""
-    from ._words import _STEP, powers
-
-    p, q = powers(_STEP + 2 * salt, len(w) + 1)
-    s = np.zeros(len(w) + 1, U)
-    np.cumsum(w * p[: len(w)], out=s[1:])
-    return mix((s[n:] - s[:-n]) * q[: len(w) - n + 1] + U(n + salt))
-
-
 def _rows_of(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchor >> U(64 - bits)).astype(np.int64), (mix(anchor) >> U(64 - bits)).astype(np.int64)
 
 
-def repeated_anchors(docs: DataFrame, window: int, gram: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_anchors(docs: DataFrame, window: int, gram: int, bits: int, bunched: bool) -> tuple[np.ndarray, np.ndarray]:
     """Merged sketch of (doc_id, text): for both hash rows the packed bits of the counters that reached 2."""
     per = (1 << bits) // SLICES
 
@@ -104,18 +98,32 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int, bits: int) -> tupl
                 at = at[twice]
                 cut = np.searchsorted(at, np.arange(SLICES + 1) * per)
                 out += [(row * SLICES + i, (at[x:y] - i * per).astype(np.uint32).tobytes()) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if x < y]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["slice", "places"])
+            n, bunch = len(out), TaskContext.get().partitionId() // BUNCH
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int32()), pa.array([bunch] * n, pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["slice", "bunch", "places"]
+            )
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(per, np.uint8)
+    def total(rows: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(per, np.uint8)
         for x in rows["places"]:
             at = np.frombuffer(x, np.uint32)
             one, many = np.unique(at, return_counts=True)
-            total[one] = np.minimum(total[one] + many, 2).astype(np.uint8)
-        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(total >= 2).tobytes()]})
+            out[one] = np.minimum(out[one] + many, 2).astype(np.uint8)
+        return out
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = total(rows)
+        places = np.concatenate([np.flatnonzero(out >= k) for k in (1, 2)]).astype(np.uint32)
+        return pd.DataFrame({"slice": [key[0]], "places": [places.tobytes()]})
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(total(rows) >= 2).tobytes()]})
 
     found = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    merged = docs.mapInArrow(sketch, "slice int, places binary").groupBy("slice").applyInPandas(merge, "slice int, bits binary")
+    parts = docs.mapInArrow(sketch, "slice int, bunch int, places binary")
+    if bunched:
+        parts = parts.groupBy("slice", "bunch").applyInPandas(add, "slice int, places binary")
+    merged = parts.groupBy("slice").applyInPandas(merge, "slice int, bits binary")
     for r in merged.collect():  # 2 * 2**bits bits at any input size
         row, i = divmod(r["slice"], SLICES)
         found[row][i * per // 8 : (i + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -154,43 +162,57 @@ def _spans(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, window: int) -> pd
     return pd.DataFrame({"doc_id": doc[first[owner]], "key": key[first[owner]], "spans": [pairs[i:j].tobytes() for i, j in zip(owner, ends)]})
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, bits: int = 26) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (string: the kept words joined by one space)."""
+def dedup_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, bits: int | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (string: the kept words joined by one space).
+
+    bits: of the sketch's places (9 at least), by default by the size of the input.
+    """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = spark.sparkContext.broadcast(repeated_anchors(docs.where("doc_id is not null"), window, gram, bits))
-    n_buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def packed_rows(got: list[tuple]) -> pa.RecordBatch:
-        """Decides windows that meet here; the others and the decided ones, packed by bucket."""
-        h, h2, doc, key, pos, a = (np.concatenate(x) for x in zip(*got))
-        order, later = _later(h, h2, doc)
-        h, h2, doc, key, pos, a = (x[order] for x in (h, h2, doc, key, pos, a))
+    size = plan_bytes(docs)
+    # An anchor for about 20 words, and 16 counters for each anchor of a few GB.
+    bits = bits or bits_for(size // 64, 26, 29)
+    rows = spark.sparkContext.broadcast(repeated_anchors(docs.where("doc_id is not null"), window, gram, bits, size > BUNCH_BYTES))
+    n_buckets = max(4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), min(size >> 24, 1 << 22))
+
+    columns = ["h", "h2", "doc", "key", "pos"]
+    kinds = [np.uint64, np.uint32, np.int64, np.int64, np.int32]
+
+    def packed_rows(got: list[np.ndarray], bucket: np.ndarray) -> pd.DataFrame:
+        """Decides windows that meet here; the open and the decided ones (of these no hashes are sent), packed by bucket."""
+        order, later = _later(*got[:3])
+        got, bucket = [x[order] for x in got], bucket[order]
+        # Decided windows need no meeting: they go by document.
+        bucket = np.where(later, (mix(got[2].view(U)) % U(n_buckets)).astype(np.int64), bucket)
         out = []
-        for kind in (False, True):  # still open, decided
-            sel = later == kind
-            b = ((mix(doc[sel].view(U)) if kind else mix(a[sel])) % U(n_buckets)).astype(np.int64)
-            by = np.argsort(b, kind="stable")
-            b = b[by]
-            cut = np.searchsorted(b, np.arange(n_buckets + 1))
-            cols = [x[sel][by] for x in (h, h2, doc, key, pos)]
-            for i in np.unique(b):
-                x, y = cut[i], cut[i + 1]
-                packed = [c[x:y].tobytes() for c in cols]
-                out.append((int(i), *(packed if not kind else [b"", b"", *packed[2:]])))
-        cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["bucket", "h", "h2", "doc", "key", "pos"]
-        )
+        for kind in (False, True):
+            sel = np.flatnonzero(later == kind)
+            sel = sel[np.argsort(bucket[sel], kind="stable")]
+            b = bucket[sel]
+            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])[: len(b)])
+            for x, y in zip(cut, np.append(cut[1:], len(b))):
+                packed = [c[sel[x:y]].tobytes() for c in got]
+                out.append((int(b[x]), *(packed if not kind else [b"", b"", *packed[2:]])))
+        return pd.DataFrame(out, columns=["bucket", *columns])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits0, bits1 = rows.value
+        group = TaskContext.get().partitionId() // BUNCH
+        schema = pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in columns] + [("bunch", pa.int32())])
+
+        def send(got: list[tuple]) -> pa.RecordBatch:
+            *cols, a = (np.concatenate(x) for x in zip(*got))
+            made = packed_rows(cols, (mix(a) % U(n_buckets)).astype(np.int64))
+            return pa.RecordBatch.from_pandas(made.assign(bunch=group), schema=schema, preserve_index=False)
+
+        got: list[tuple] = []
+        held = 0
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             off, raw = text_buffers(batch.column(1))
-            got: list[tuple] = []
-            held = 0
             for at, end in chunks(off):
                 words = Words(off, raw, at, end, lower=False)
                 where, doc, a = _anchors(words, window, gram)
@@ -200,37 +222,44 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ok = _hit(bits0, p0) & _hit(bits1, p1)
                 if ok.any():
                     where, doc, a = where[ok], doc[ok], a[ok]
-                    h = _runs(words.hash, window, 1)[where]
-                    h2 = (_runs(words.hash, window, 2)[where] >> U(32)).astype(np.uint32)
+                    h = runs(words.hash, window, 1)[where]
+                    h2 = (runs(words.hash, window, 2)[where] >> U(32)).astype(np.uint32)
                     got.append((h, h2, ids[at + doc], keys[at + doc], (where - words.first[doc]).astype(np.int32), a))
                     held += len(a)
                 if held > HELD_WINDOWS:
-                    yield packed_rows(got)
+                    yield send(got)
                     got, held = [], 0
-            if got:
-                yield packed_rows(got)
             release()
+        if got:
+            yield send(got)
+
+    def unpacked(part: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(part[c]), k) for c, k in zip(columns, kinds)]
+
+    def among(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        """One bucket's open windows of a bunch of partitions, decided as far as they can be."""
+        done = part["h"].str.len() == 0
+        still = unpacked(part[~done])
+        out = packed_rows(still, np.full(len(still[0]), key[0], np.int64))
+        return pd.concat([out, part.loc[done, ["bucket", *columns]]], ignore_index=True)
 
     def decide(part: pd.DataFrame) -> pd.DataFrame:
         done = part["h"].str.len() == 0
-        join = lambda frame, c, kind: np.frombuffer(b"".join(frame[c]), kind)
-        still, known = part[~done], part[done]
-        h, h2 = join(still, "h", np.uint64), join(still, "h2", np.uint32)
-        cols = [join(still, c, k) for c, k in (("doc", np.int64), ("key", np.int64), ("pos", np.int32))]
-        order, later = _later(h, h2, cols[0])
-        cols = [np.concatenate((c[order][later], join(known, n, k))) for c, (n, k) in zip(cols, (("doc", np.int64), ("key", np.int64), ("pos", np.int32)))]
-        out = _spans(*cols, window)
+        still, known = unpacked(part[~done]), unpacked(part[done])
+        order, later = _later(*still[:3])
+        out = _spans(*(np.concatenate((x[order][later], y)) for x, y in zip(still[2:], known[2:])), window)
         release()
         return out
 
     keyed = docs.withColumn("key", F.xxhash64("text"))
-    spans = (
-        keyed.where("doc_id is not null")
-        .mapInArrow(candidates, "bucket int, h binary, h2 binary, doc binary, key binary, pos binary")
-        .groupBy("bucket")
-        .applyInPandas(decide, "doc_id long, key long, spans binary")
-    )
-    spans = written(spans, "spans").groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
+    packing = "bucket long, h binary, h2 binary, doc binary, key binary, pos binary"
+    met = keyed.where("doc_id is not null").mapInArrow(candidates, packing + ", bunch int")
+    if size > BUNCH_BYTES:
+        met = met.groupBy("bucket", "bunch").applyInPandas(among, packing)
+    else:
+        met = met.drop("bunch")
+    spans = written(met.groupBy("bucket").applyInPandas(decide, "doc_id long, key long, spans binary"), "spans")
+    spans = spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
