@@ -50,9 +50,23 @@ def iou(a: Box, b: Box) -> Column:
 
 
 def at_least_half(a: Box, b: Box) -> Column:
-    """IoU >= 1/2 without division: exact on integers."""
+    """IoU >= 1/2 without division, and never without overlap: exact on integers."""
     i = intersection(a, b)
-    return F.lit(2) * i >= area(a) + area(b) - i
+    return (i > 0) & (F.lit(2) * i >= area(a) + area(b) - i)
+
+
+#: Decimals in which products of coordinates on a grid of 1e-6 (below a million) are exact.
+EXACT = "decimal(18,6)"
+
+
+def half_overlap(a: Box, b: Box, near: float = 1e-9) -> tuple[Column, Column]:
+    """(IoU >= 1/2, whether it was judged anew) for boxes of doubles: close to the boundary in decimals, where 2 * i = union is exact."""
+    i = intersection(a, b)
+    union = area(a) + area(b) - i
+    slack = 2 * i - union
+    close = (i > 0) & (union > 0) & (F.abs(slack) <= near * F.greatest(F.lit(1.0), union))
+    ad, bd = (tuple(v.cast(EXACT) for v in box) for box in (a, b))
+    return (i > 0) & F.when(close, at_least_half(ad, bd)).otherwise(slack > 0), close
 
 
 def band(total: Column, n: Column) -> Column:
@@ -72,7 +86,7 @@ def order_key(seed: str, value: Column) -> Column:
     return F.sha2(F.concat(F.lit(seed + "|"), value.cast("string")), 256)
 
 
-def pick_index(value: Column, seed: int, n: int) -> Column:
+def pick_index(value: Column, seed: int, n: int | Column) -> Column:
     """First 8 bytes of SHA-256 of value|seed as an unsigned number, modulo n."""
     hexes = F.substr(F.sha2(F.concat_ws("|", value.cast("string"), F.lit(str(seed))), 256), F.lit(1), F.lit(16))
     return (F.conv(hexes, 16, 10).cast("decimal(20,0)") % n).cast("long")

@@ -26,8 +26,52 @@ def label_scores(counts: DataFrame, label: str, weight: Column | None = None) ->
     return t.select(label, "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), f1.alias("f1"))
 
 
-def unit_jaccard(counts: DataFrame, unit: str) -> DataFrame:
-    return counts.groupBy(unit).agg((F.sum("tp") / F.sum(F.col("tp") + F.col("fp") + F.col("fn"))).alias("jaccard"))
+def unit_jaccard(counts: DataFrame, unit: str, population: DataFrame | None = None) -> DataFrame:
+    """(unit, jaccard); with ``population`` also for its units that neither side names: two empty sets are equal, 1.0."""
+    found = counts.groupBy(unit).agg((F.sum("tp") / F.sum(F.col("tp") + F.col("fp") + F.col("fn"))).alias("jaccard"))
+    if population is None:
+        return found
+    return population.select(unit).distinct().join(found, unit, "left").select(unit, F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+
+
+def f1_by(counts: DataFrame, by: list[str], label: str) -> DataFrame:
+    """(by, macro_f1 over labels with support, micro_f1, micro_recall, labels); null where nothing has support."""
+    t = counts.groupBy(*by, label).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    f1 = F.when(tp + fn > 0, 2 * tp / (2 * tp + fp + fn))
+    over = lambda n, m: F.when(m > 0, n / m)
+    return t.groupBy(*by).agg(
+        F.avg(f1).alias("macro_f1"), over(F.sum(2 * tp), F.sum(2 * tp + fp + fn)).alias("micro_f1"), over(F.sum(tp), F.sum(tp + fn)).alias("micro_recall"), F.count_if(tp + fn > 0).alias("labels")
+    )
+
+
+def stratified(units: DataFrame, gold: DataFrame, predicted: DataFrame, unit: str, stratum: str, label: str) -> DataFrame:
+    """(stratum, size, pure, majority, macro_f1, baseline, lift): the model's macro F1 in each stratum of ``units`` (unit, stratum), and
+    that of predicting the stratum's most frequent gold set (sorted, joined by ;, ties to the smaller text) for all its units.
+
+    pure: all units have one set, so nothing can be told apart.  Without any gold label in a stratum the scores are null.
+    """
+    codes = units.join(gold.select(unit, label).distinct(), unit, "left").groupBy(stratum, unit).agg(F.array_join(F.array_sort(F.collect_set(label)), ";").alias("codes"))
+    n = codes.groupBy(stratum, "codes").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy(stratum).agg(F.min_by("codes", F.struct(-F.col("n"), "codes")).alias("majority"), (F.count(F.lit(1)) == 1).alias("pure"), F.sum("n").alias("size"))
+    each = units.join(best.select(stratum, "majority"), stratum).select(unit, F.explode(F.filter(F.split("majority", ";"), lambda x: x != "")).alias(label))
+
+    def score(p: DataFrame, name: str) -> DataFrame:
+        mine = lambda df: df.select(unit, label).distinct().join(units, unit)
+        both = mine(gold).withColumn("a", F.lit(1)).join(mine(p).withColumn("b", F.lit(1)), [unit, stratum, label], "full")
+        a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+        c = both.select(stratum, label, (a * b).alias("tp"), ((1 - a) * b).alias("fp"), (a * (1 - b)).alias("fn"))
+        return f1_by(c, [stratum], label).select(stratum, F.col("macro_f1").alias(name))
+
+    out = best.join(score(predicted, "macro_f1"), stratum, "left").join(score(each, "baseline"), stratum, "left")
+    return out.withColumn("lift", F.col("macro_f1") - F.col("baseline"))
+
+
+def label_frequencies(units: DataFrame, gold: DataFrame, unit: str, stratum: str, label: str, labels: list[str]) -> DataFrame:
+    """(stratum, label, n_with, n): units of a stratum that have a label, for all labels."""
+    n = units.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).select("*", F.explode(F.array(*[F.lit(x) for x in labels])).alias(label))
+    some = gold.select(unit, label).distinct().join(units, unit).groupBy(stratum, label).agg(F.count(F.lit(1)).alias("n_with"))
+    return n.join(some, [stratum, label], "left").select(stratum, label, F.coalesce("n_with", F.lit(0)).alias("n_with"), "n")
 
 
 def average_precision(scored: DataFrame, score: str, positive: str) -> DataFrame:
