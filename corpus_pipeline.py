@@ -26,30 +26,53 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity(docs, labels, keep=("text", "lang", "source", "n_chars")).where("predicted = 0").select(COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with an id, of equal (doc_id, text) one, that of the least (lang, source, n_chars), nulls first; ``number`` is
+    a row's own and orders rows as (doc_id, text) does.
+    """
+    one = docs.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+    one = written(one.select("doc_id", "text", "r.lang", "r.source", "r.n_chars", F.sha2("text", 256).alias("h")), "rows")
+    # Sorted by ranges, so the number of a row is that of its partition and its place in it.
+    numbers = written(one.select("doc_id", "h").orderBy("doc_id", "h").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return written(one.join(numbers, (one.doc_id == numbers.doc_id) & one.h.eqNullSafe(numbers.h)).select(*[one[c] for c in COLUMNS], "number"), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id, and of repeated rows one.
+    """Of each group of linked documents the one with the smallest id, and of repeated rows (equal id and text) one.
 
-    Rows with null id are linked with nothing and stay.
+    Rows with null id are linked with nothing and all stay.  An id with several texts stands for several documents here, each
+    judged by its own text; of these the text of least digest comes first.  Null and empty texts are linked with nothing.
     """
-    later = near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.select(COLUMNS).join(written(later, "later"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        later = near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
+        return docs.join(written(later, "later"), "doc_id", "left_anti").select(COLUMNS)
+    rows = _numbered(known)
+    later = near_duplicates(rows, id_col="number").where("component_id <> doc_id").select(F.col("doc_id").alias("number"))
+    return rows.join(written(later, "later"), "number", "left_anti").select(COLUMNS).union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; null and empty texts hold none, and rows with null id stay.
+
+    If one of several rows of an id holds an item, all rows of the id go.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = written(contaminated(docs, items).select("doc_id").distinct(), "contaminated")
     return docs.select(COLUMNS).join(found, "doc_id", "left_anti").select(COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data and n_chars of the new text."""
+    """All rows, repeated ones repeatedly, with surrogates for personal data and n_chars of the new text; null text and its n_chars are null."""
     out = pseudonymise(docs, keep=("lang", "source"))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a row for each time that a document is taken, with its text."""
+    """The mixture: a row for each time that a document is taken, with its text; null and empty texts count as one token,
+    rows of null source as a source of their own.
+    """
     return mix_sources(docs, keep=("text", "lang"), max_epochs=4.0)
 
 
