@@ -5,9 +5,12 @@ smallest id is a response, the others are revisits that refer to it.  Each task
 temporary name and renames them, so a task that runs again leaves whole files only, and just
 the files of the attempt that counted are listed.
 
-*Reader.*  Archives are read front to back in pieces of 64 KB: incremental zlib decompression ends a
-member where it ends, Content-Length frames the block, and block and payload digests are verified.  A
-broken record raises an error that names the archive and the record.
+*Reader.*  Archives of any writer that has one gzip member a record are read front to back in pieces of 64 KB.  A member is inflated only as far as
+its record is read: the head to its empty line, then as much as Content-Length says, then the end.  Names of
+head fields have any case and may go on over lines; all record types are read; of HTTP responses and requests the payload is the body, chunks put together, of
+others the block.  Recorded digests (SHA-1, SHA-256, SHA-512 or MD5, in hexadecimal or Base32) are verified: of the block, and of the payload
+unless the record is a revisit or truncated; a chunked body may have either form's digest.  Missing digests and
+unknown algorithms are let pass.  A broken record raises an error that names the archive and the record's offset.
 
 Defined results: a null payload is empty, null url and id are written as absent and read back as null,
 repeated rows are repeated records, and an empty table makes an empty result.
@@ -15,6 +18,7 @@ repeated rows are repeated records, and an empty table makes an empty result.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import uuid
@@ -33,7 +37,10 @@ from ._store import new_path, ship, written
 PIECE = 1 << 16
 ROLL_BYTES = 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FIELDS = "record_id long, record_type string, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+FIELDS = "archive string, offset long, record_id string, record_type string, url string, date string, content_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+HEAD_BYTES = 1 << 20  # of a head at most
+# Digest algorithms by name.
+DIGESTS = {"sha1": "sha1", "sha256": "sha256", "sha512": "sha512", "md5": "md5"}
 
 
 class _Local:
@@ -73,63 +80,207 @@ def _files(uri: str) -> tuple[_Local | _Remote, str]:
     return _Remote(fs), path
 
 
-def _name(record_id: int | None) -> str:
+def record_name(record_id: int | None) -> str:
     return f"<urn:record:{'' if record_id is None else record_id}>"
 
 
-def _id(name: str) -> int | None:
-    number = name.removeprefix("<urn:record:").removesuffix(">")
-    return int(number) if number else None
-
-
 def record(record_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
     """The uncompressed record; a revisit has the HTTP head of the response and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(record_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_name(record_id)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=~-._')}")
     if revisit:
-        head += [f"WARC-Refers-To: {_name(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {record_name(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def members(stream: BinaryIO) -> Iterator[bytes]:
-    """The decompressed gzip members of a stream, one after the other."""
-    held = stream.read(PIECE)
-    while held:
-        z, out = zlib.decompressobj(31), []
-        while not z.eof:
-            if not held and not (held := stream.read(PIECE)):
-                raise ValueError("the archive ends inside a gzip member")
-            out.append(z.decompress(held))
-            held = z.unused_data
-        yield b"".join(out)
-        held = held or stream.read(PIECE)
-
-
-def parse(member: bytes) -> tuple:
-    """FIELDS of one record, verified."""
-    head, found, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not found or not lines[0].startswith("WARC/"):
+class _Member:
+    """One gzip member of a stream, inflated as far as it is read."""
+
+    def __init__(self, stream: BinaryIO, held: bytes):
+        self.stream, self.raw, self.z, self.out = stream, held, zlib.decompressobj(31), bytearray()
+
+    def _fill(self) -> bool:
+        """A piece more; whether there was one."""
+        while not self.z.eof:
+            made = self.z.decompress(self.raw, PIECE)
+            self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if made:
+                self.out += made
+                return True
+            if not self.z.eof and not self.raw:
+                self.raw = self.stream.read(PIECE)
+                if not self.raw:
+                    raise ValueError("the archive ends inside a gzip member")
+        return False
+
+    def until_blank(self) -> bytes:
+        """Up to and without the next empty line."""
+        at = 0
+        while True:
+            ends = [(i, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (i := self.out.find(mark, max(at - 3, 0))) >= 0]
+            if ends:
+                i, n = min(ends)
+                found = bytes(self.out[:i])
+                del self.out[: i + n]
+                return found
+            at = len(self.out)
+            if at > HEAD_BYTES or not self._fill():
+                raise ValueError("no end of the head")
+
+    def read(self, n: int) -> Iterator[bytes]:
+        """The next n bytes, in pieces."""
+        while n:
+            if not self.out and not self._fill():
+                raise ValueError("Content-Length goes beyond the record")
+            piece = bytes(self.out[:n])
+            del self.out[:n]
+            n -= len(piece)
+            yield piece
+
+    def end(self) -> bytes:
+        """What is read of the stream already, after the member's end."""
+        while self._fill():
+            if len(self.out) > 4:
+                break
+        if bytes(self.out) not in (b"\r\n\r\n", b"\n\n"):
+            raise ValueError("Content-Length does not frame the block")
+        return self.raw
+
+
+def _fields(head: str) -> dict[str, str]:
+    """Fields of a head by name in lower case; lines that begin with white space go on with the last one."""
+    out: dict[str, str] = {}
+    last = ""
+    for line in head.replace("\r\n", "\n").split("\n"):
+        if line[:1] in (" ", "\t") and last:
+            out[last] = (out[last] + " " + line.strip()).strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out[last] = value.strip()
+        elif line.strip():
+            raise ValueError(f"no field: {line[:80]!r}")
+    return out
+
+
+def _dechunked(body: bytes) -> bytes:
+    """The body of a chunked message; as it is where it is none."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            return body
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def _digest(recorded: str | None) -> tuple[str | None, str]:
+    """(algorithm that can be verified or None, value) of ``algorithm:value``."""
+    name, _, value = (recorded or "").partition(":")
+    return DIGESTS.get(name.strip().lower().replace("-", "")), value.strip()
+
+
+def _same(value: str, made: bytes) -> bool:
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
+def _one(member: _Member, keep: bool) -> tuple:
+    """FIELDS from the record's id on, verified; without ``keep`` the payload is hashed and let go."""
+    version, _, rest = member.until_blank().decode("utf-8", "replace").replace("\r\n", "\n").lstrip("\n").partition("\n")
+    if not version.startswith("WARC/"):
         raise ValueError("no WARC head")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    size = int(fields["Content-Length"])
-    block = rest[:size]
-    if len(block) != size or rest[size:] != b"\r\n\r\n":
-        raise ValueError("Content-Length does not frame the block")
-    if fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    fields = _fields(rest)
+    kind = fields.get("warc-type", "").lower()
+    if not kind or not fields.get("content-length", "").isdigit():
+        raise ValueError("no type or length")
+    (block_name, block_value), (name, value) = _digest(fields.get("warc-block-digest")), _digest(fields.get("warc-payload-digest"))
+    whole = hashlib.new(block_name) if block_name else None
+    http = kind in ("response", "request", "revisit") and fields.get("content-type", "").lower().replace(" ", "").startswith("application/http")
+    revisit = kind == "revisit"
+    checked = name and not revisit and "warc-truncated" not in fields
+    sums = [hashlib.sha256(), *([hashlib.new(name)] if checked and name != "sha256" else [])]
+    kept, size, head, message = [], 0, b"", None if http else {}
+    for piece in member.read(int(fields["content-length"])):
+        if whole:
+            whole.update(piece)
+        if message is None:
+            head += piece
+            ends = [(i, n) for mark, n in ((b"\r\n\r\n", 4), (b"\n\n", 2)) if (i := head.find(mark)) >= 0]
+            if not ends:
+                continue
+            at, n = min(ends)
+            lines = head[:at].decode("latin-1").replace("\r\n", "\n").partition("\n")[2]
+            message, piece = _fields("\n".join(x for x in lines.split("\n") if ":" in x or x[:1] in (" ", "\t"))), head[at + n :]
+            keep = keep or message.get("transfer-encoding", "").lower() == "chunked"
+        size += len(piece)
+        for x in sums:
+            x.update(piece)
+        if keep:
+            kept.append(piece)
+    if message is None:
+        message = {}  # an HTTP head alone, without its empty line
+    if whole and not _same(block_value, whole.digest()):
         raise ValueError("block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
+    body = b"".join(kept) if keep else None
+    right = not checked or _same(value, sums[-1].digest())
+    if message.get("transfer-encoding", "").lower() == "chunked" and not revisit:
+        body = _dechunked(body or b"")
+        right = right or _same(value, hashlib.new(name, body).digest())
+        size, sums = len(body), [hashlib.sha256(body)]
+    if not right:
         raise ValueError("payload digest differs")
-    url = fields.get("WARC-Target-URI")
-    return (_id(fields["WARC-Record-ID"]), fields["WARC-Type"], None if url is None else unquote(url), _id(fields["WARC-Refers-To"]) if revisit else None, length, digest, None if revisit else payload)
+    if http and not revisit and kind == "response" and "warc-truncated" not in fields and "transfer-encoding" not in message and message.get("content-length", str(size)) != str(size):
+        raise ValueError("the payload is not as long as its head says")
+    digest = sums[0].hexdigest()
+    if revisit:
+        size = int(message["content-length"]) if message.get("content-length", "").isdigit() else None
+        digest = value.lower() if name == "sha256" and len(value) == 64 else fields.get("warc-payload-digest")
+        body = None
+    url = fields.get("warc-target-uri")
+    url = None if url is None else unquote(url.removeprefix("<").removesuffix(">"))
+    return (fields.get("warc-record-id"), kind, url, fields.get("warc-date"), fields.get("content-type"), fields.get("warc-refers-to"), size, digest, body)
+
+
+def records(stream: BinaryIO, keep: bool = True) -> Iterator[tuple]:
+    """(offset, fields from the record's id on) of each record of a stream, read front to back."""
+    held, offset = stream.read(PIECE), 0
+    seen = len(held)
+    while held:
+        member = _Member(_Counting(stream), held)
+        try:
+            out = _one(member, keep)
+            held = member.end()
+        except (ValueError, zlib.error) as e:
+            raise ValueError(f"the record at {offset}: {e}") from e
+        yield offset, *out
+        seen += member.stream.n
+        if not held:
+            held = stream.read(PIECE)
+            offset, seen = seen, seen + len(held)
+        else:
+            offset = seen - len(held)
+
+
+class _Counting:
+    """A stream that counts what is read."""
+
+    def __init__(self, stream: BinaryIO):
+        self.stream, self.n = stream, 0
+
+    def read(self, n: int) -> bytes:
+        out = self.stream.read(n)
+        self.n += len(out)
+        return out
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 100, level: int = 4, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
@@ -175,28 +326,33 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """FIELDS of every record of the archives (path); the payload of a revisit is null."""
+    """FIELDS of every record of the archives (path).
+
+    payload_bytes and payload_digest (bare SHA-256 in hexadecimal) are the payload's; of a revisit, whose payload is null, they are
+    what its head says: null, or another algorithm with its name, where it does not say these.
+    """
     spark = archives.sparkSession
     ship(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        schema = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in FIELDS.split(", "))])
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 files, at = _files(path)
                 rows, held = [], 0
                 with files.read(at) as stream:
-                    for k, member in enumerate(members(stream)):
-                        try:
-                            row = parse(member)
-                        except (ValueError, KeyError) as e:
-                            raise ValueError(f"{path}, record {k}: {e}") from e
-                        rows.append(row if with_payload else (*row[:-1], None))
-                        held += len(member) if with_payload else 200
-                        if held >= 8 << 20:
-                            yield pack(rows)
-                            rows, held = [], 0
+                    try:
+                        for offset, *fields, body in records(stream, with_payload):
+                            body = body if with_payload else None
+                            rows.append((path, offset, *fields, body))
+                            held += len(body or b"") + 200
+                            if held >= 8 << 20:
+                                yield pack(rows)
+                                rows, held = [], 0
+                    except ValueError as e:
+                        raise ValueError(f"{path}, {e}") from e
                 if rows:
                     yield pack(rows)
 
