@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import canonical_turns, format_turns, read_back
+    from .chat import canonical_turns, canonical_turns_json, format_turns, read_back
 
     marked = r"\### Assistant: </turn> ok"
-    extra = spark.range(1).select(
-        F.lit(-7).cast("long").alias("conv_id"),
-        F.array(*[F.struct(F.lit(r).alias("role"), F.lit(marked).alias("content")) for r in ("user", "assistant")]).alias("messages"),
-    )
-    turns = canonical_turns(_table(spark, sf_dir, "conversations")).union(canonical_turns(extra))
+    extra = {"messages": [{"role": "user", "content": marked}, {"role": "assistant", "content": marked}]}
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(json.dumps(extra)).alias("record"))
+    turns = canonical_turns(_table(spark, sf_dir, "conversations")).union(canonical_turns_json(extra).drop("reason"))
     back = read_back(format_turns(turns))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
@@ -62,7 +62,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
     back = read_archives(write_archives(_table(spark, sf_dir, "pages")), with_payload=False)
-    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    number = lambda c: F.regexp_extract(c, "^<urn:record:(-?[0-9]+)>$", 1).try_cast("long")
+    return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hamming")
 
 
 QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_ngram_jaccard_join, op3_chat_formatting, op4_pii_surrogates, op5_toxicity, op6_warc, op7_source_mixing, op8_substring_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
