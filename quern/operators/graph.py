@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.relational import close_hashes
+from quern.sources.shipping import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed in spark.checkpoint.dir; only where that is unset (as in tests) in a folder of our own."""
+    """The rows, checkpointed in spark.checkpoint.dir; only where that is unset, on one machine as in tests, in a folder of our own."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
