@@ -1,0 +1,409 @@
+"""256-bit hashes and vectors: pairs within a radius, histograms against all rows, nearest rows, groups by evidence, normal forms.
+
+A scan of given rows against all others is block by block: a block of the given rows (a fixed size) is broadcast, and each partition of the
+others meets it in Arrow batches.  A full matrix is made of a bounded number of rows only.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quern.operators.graph import components
+from quern.sources.shipping import new_folder, ship
+
+WORDS, BITS = 4, 256
+BLOCK = 4096
+MOST_MATRIX = 5000
+
+
+def hash_words(hexes: Column) -> list[Column]:
+    """Four longs of a hash of 64 hexadecimal digits; another length is an error."""
+    ok = F.when(F.assert_true(F.coalesce(F.length(hexes) == BITS // 4, F.lit(True)), "not 64 hexadecimal digits").isNull(), hexes)
+    # -10: the digits as a signed number, so that all 64 bits fit.
+    return [F.conv(F.substr(ok, F.lit(16 * i + 1), F.lit(16)), 16, -10).cast("long") for i in range(WORDS)]
+
+
+def with_words(df: DataFrame, hexes: str) -> DataFrame:
+    return df.select("*", *[w.alias(f"w{i}") for i, w in enumerate(hash_words(F.col(hexes)))])
+
+
+def _distance(a: str, b: str) -> Column:
+    parts = [F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(WORDS)]
+    return parts[0] + parts[1] + parts[2] + parts[3]
+
+
+def hash_classes(df: DataFrame, id_col: str, hexes: str, by: list[str]) -> DataFrame:
+    """(by, hash, id, n, w0 .. w3): rows of one hash (and one ``by``) as a class, by their smallest id."""
+    c = df.where(F.col(hexes).isNotNull()).groupBy(*by, F.col(hexes).alias("hash")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    return with_words(c, "hash")
+
+
+def close_classes(classes: DataFrame, radius: int, by: list[str]) -> DataFrame:
+    """(by, a, n_a, b, n_b, distance), a < b: classes of different hashes at most ``radius`` bits apart.
+
+    Exact: of radius + 1 blocks of bits two such hashes have one in common, so pairs meet by (by, block, bits); each is taken once.
+    """
+    cut = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
+    bits = F.concat(*[F.lpad(F.conv(F.substr("hash", F.lit(16 * i + 1), F.lit(16)), 16, 2), 64, "0") for i in range(WORDS)])
+    piece = lambda c, i: F.substr(c, F.lit(cut[i] + 1), F.lit(cut[i + 1] - cut[i]))
+    rows = classes.withColumn("_bits", bits)
+    keyed = rows.select("*", F.posexplode(F.array(*[piece("_bits", i) for i in range(radius + 1)])).alias("_block", "_piece"))
+    same = (F.col("a._block") == F.col("b._block")) & (F.col("a._piece") == F.col("b._piece")) & (F.col("a.id") < F.col("b.id"))
+    for c in by:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    met = keyed.alias("a").join(keyed.alias("b"), same).withColumn("distance", _distance("a", "b")).where(F.col("distance") <= radius)
+    first = F.lit(radius + 1)
+    for i in range(radius, -1, -1):
+        first = F.when(piece(F.col("a._bits"), i) == piece(F.col("b._bits"), i), i).otherwise(first)
+    met = met.where(F.col("a._block") == first)
+    return met.select(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.id").alias("a"), F.col("a.n").alias("n_a"), F.col("b.id").alias("b"), F.col("b.n").alias("n_b"), "distance")
+
+
+def distance_matrix(df: DataFrame, id_col: str, hexes: str) -> DataFrame:
+    """(a, b, distance) of all ordered pairs, with a row itself too; an error for more than MOST_MATRIX rows."""
+    if df.limit(MOST_MATRIX + 1).count() > MOST_MATRIX:
+        raise ValueError(f"a full matrix of more than {MOST_MATRIX} rows")
+    w = with_words(df.select(id_col, hexes), hexes)
+    a, b = F.broadcast(w).alias("a"), w.alias("b")
+    return b.crossJoin(a).select(F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b"), _distance("a", "b").alias("distance"))
+
+
+def _blocks(rows: DataFrame, columns: list[str], number: str) -> Iterator[pa.Table]:
+    """The rows in blocks of about BLOCK, by a hash of their number, read from a written table one block at a time."""
+    path = new_folder(rows.sparkSession, "blocks")
+    n = max(1, math.ceil(rows.count() / BLOCK))
+    rows.select(*columns, F.pmod(F.xxhash64(number), F.lit(n)).alias("_block")).write.partitionBy("_block").parquet(path)
+    stored = rows.sparkSession.read.parquet(path)
+    for i in range(n):
+        yield stored.where(F.col("_block") == i).drop("_block").toArrow()  # about BLOCK rows
+
+
+def _against(rows: DataFrame, given: DataFrame, columns: list[str], number: str, schema: str, meet: Callable) -> DataFrame:
+    """``meet(block, batch)`` (record batches) of each block of ``given`` with all ``rows``, as one table."""
+    ship()
+    spark = rows.sparkSession
+    out: DataFrame | None = None
+    for block in _blocks(given, columns, number):
+        shared = spark.sparkContext.broadcast(block.combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            yield from meet(shared.value, batches)
+
+        path = new_folder(spark, "met")
+        rows.select(columns).mapInArrow(run, schema).write.parquet(path)
+        now = spark.read.parquet(path)
+        out = now if out is None else out.union(now)
+    return out
+
+
+def hash_scan(given: DataFrame, rows: DataFrame, id_col: str, hexes: str, radius: int, same: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(histogram, pairs) of the given rows against all rows: (distance 0 .. 256, pairs) and (a, b, distance) up to ``radius``.
+
+    same: both are the same rows, and each unordered pair counts once.  Ids are longs.
+    """
+    columns = ["id", *[f"w{i}" for i in range(WORDS)]]
+    made = lambda df: with_words(df.where(F.col(hexes).isNotNull()).select(F.col(id_col).cast("long").alias("id"), hexes), hexes).select(columns)
+
+    def matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.stack([np.asarray(t.column(1 + i)).astype(np.int64).view(np.uint64) for i in range(WORDS)], 1)
+
+    def meet(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids = matrix(block), np.asarray(block.column(0))
+        total = np.zeros(BITS + 1, np.int64)
+        for batch in batches:
+            other, theirs = matrix(batch), np.asarray(batch.column(0))
+            for k in range(len(own)):
+                d = np.bitwise_count(other ^ own[k]).sum(1).astype(np.int64)
+                ok = theirs > ids[k] if same else np.ones(len(d), bool)
+                total += np.bincount(d[ok], minlength=BITS + 1)
+                near = np.flatnonzero(ok & (d <= radius))
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[k])), pa.array(theirs[near]), pa.array(d[near]), pa.nulls(len(near), pa.int64())], names=["a", "b", "distance", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(BITS + 1, pa.int64()), pa.nulls(BITS + 1, pa.int64()), pa.array(np.arange(BITS + 1)), pa.array(total)], names=["a", "b", "distance", "n"])
+
+    met = _against(made(rows), made(given), columns, "id", "a long, b long, distance long, n long", meet)
+    return met.where("n is not null").groupBy("distance").agg(F.sum("n").alias("pairs")), met.where("n is null").select("a", "b", "distance")
+
+
+def evidence_groups(df: DataFrame, id_col: str, content: str, hexes: str, by: str, radius: int, meta: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, edges, crossing): rows of one ``by`` linked by equal content, an equal ``meta`` key or hashes within ``radius`` bits.
+
+    groups: (id, group_id, size), group_id ``grp_<by>_<first 12 signs of the least content digest>``, which depends on content alone.
+    edges: (kind, n): content and meta links as rows beyond the first of a key, and hash pairs.  crossing: (a, b, distance): what is as close
+    but of another ``by`` (0 for equal content, null for meta), by the smallest id of each class: it is reported, never merged.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(content).alias("c"), F.col(hexes).alias("h"), F.col(by).alias("by"), *([F.col(meta).alias("m")] if meta else []))
+    stars, counts, crossing = [], [], []
+    for kind, key, apart in (("content", "c", 0), *([("meta", "m", None)] if meta else [])):
+        named = rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
+        first = named.groupBy("by", key).agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n"))
+        stars.append(named.join(first, ["by", key]).select(F.col("id").alias("a"), "b"))
+        counts.append(first.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit(kind).alias("kind"), "n"))
+        least = first.groupBy(key).agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        crossing.append(first.join(least, key).where("a <> b").select("a", "b", F.lit(apart).cast("int").alias("distance")))
+    classes = hash_classes(rows, "id", "h", ["by"])
+    near = close_classes(classes, radius, ["by"])
+    same = rows.join(classes.select("by", F.col("hash").alias("h"), F.col("id").alias("b")), ["by", "h"]).select(F.col("id").alias("a"), "b")
+    stars += [same, near.select("a", "b")]
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    inside = classes.agg(F.coalesce(F.sum(pairs.cast("long")), F.lit(0)).alias("x"))
+    between = near.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("y"))
+    counts.append(inside.crossJoin(between).select(F.lit("hash").alias("kind"), (F.col("x") + F.col("y")).alias("n")))  # one row each
+    across = hash_classes(rows, "id", "h", ["by"]).withColumn("one", F.lit(1))
+    other = close_classes(across.drop("one"), radius, []).join(across.select(F.col("id").alias("a"), F.col("by").alias("by_a")), "a").join(across.select(F.col("id").alias("b"), F.col("by").alias("by_b")), "b")
+    crossing.append(other.where("by_a <> by_b").select("a", "b", "distance"))
+    equal = across.select("hash", "by", F.col("id").alias("b")).join(across.groupBy("hash").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1"), "hash").where("a <> b").select("a", "b", F.lit(0).alias("distance"))
+    crossing.append(equal)
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].union(union(parts[1:]))
+    found = components(union(stars)).withColumnRenamed("component", "g")
+    placed = rows.join(found, "id", "left").withColumn("g", F.coalesce("g", "id"))
+    named = placed.groupBy("g").agg(F.concat(F.lit("grp_"), F.min("by"), F.lit("_"), F.substr(F.min("c"), F.lit(1), F.lit(12))).alias("group_id"), F.count(F.lit(1)).alias("size"))
+    return placed.join(named, "g").select("id", "group_id", "size"), union(counts), union(crossing).distinct()
+
+
+def unit_vectors(v: Column, flat: float = 1e-3) -> Column:
+    """The vector less its mean, by its length; zeros where that is below ``flat``."""
+    n = F.size(v)
+    mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / n
+    c = F.transform(v, lambda x: x - mean)
+    length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.transform(c, lambda x: F.when(length < flat, F.lit(0.0)).otherwise(x / length))
+
+
+def _rows(t: pa.Table | pa.RecordBatch, i: int) -> np.ndarray:
+    """A list column of equal lengths as a matrix of doubles."""
+    a = t.column(i)
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    n = len(a)
+    return np.asarray(a.flatten(), float).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def nearest(vectors: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+    """(a, rank, b, score): the k rows of highest inner product with each row but itself; ties to the smaller id.  Vectors are of unit length."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+
+    def meet(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own = np.asarray(block.column(0)), _rows(block, 1)
+        held: list = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for batch in batches:
+            theirs = np.asarray(batch.column(0))
+            if not len(theirs) or not len(ids):
+                continue
+            s = np.round(_rows(batch, 1) @ own.T, 12)
+            for q in range(len(ids)):
+                ok = theirs != ids[q]
+                v, i = np.concatenate((held[q][0], s[ok, q])), np.concatenate((held[q][1], theirs[ok]))
+                top = np.lexsort((i, -v))[:k]
+                held[q] = v[top], i[top]
+        for q, (v, i) in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), ids[q], np.int64)), pa.array(i), pa.array(v)], names=["a", "b", "score"])
+
+    met = _against(rows, rows, ["id", "v"], "id", "a long, b long, score double", meet)
+    w = W.partitionBy("a").orderBy(F.col("score").desc(), "b")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "rank", "b", "score")
+
+
+def best_owners(queries: DataFrame, windows: DataFrame, k: int) -> DataFrame:
+    """(query, rank, owner, window, score): the k owners with the best window for each query, an owner once by its best window.
+
+    queries: (query, v); windows: (owner, window, v).  Ties to the smaller owner and window.
+    """
+    q = queries.select(F.col("query").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("long").alias("w"))
+    rows = windows.select(F.col("owner").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("window").cast("long").alias("w"))
+
+    def meet(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own = np.asarray(block.column(0)), _rows(block, 1)
+        for batch in batches:
+            owner, window = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            if not len(owner) or not len(ids):
+                continue
+            s = np.round(_rows(batch, 1) @ own.T, 12)
+            for j in range(len(ids)):
+                order = np.lexsort((window, owner, -s[:, j]))
+                _, first = np.unique(owner[order], return_index=True)
+                top = order[np.sort(first)[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[j], np.int64)), pa.array(owner[top]), pa.array(window[top]), pa.array(s[top, j])], names=["query", "owner", "window", "score"])
+
+    met = _against(rows, q, ["id", "v", "w"], "id", "query long, owner long, window long, score double", meet)
+    best = met.groupBy("query", "owner").agg(F.max_by(F.struct("score", "window"), F.struct("score", -F.col("window"))).alias("b")).select("query", "owner", "b.score", "b.window")
+    w = W.partitionBy("query").orderBy(F.col("score").desc(), "owner")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "owner", "window", "score")
+
+
+def rms_scan(given: DataFrame, rows: DataFrame, id_col: str, vector: str, most: float, limit: int, bins: int = 30, same: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(histogram, pairs) of root mean square differences: counts by whole units up to ``bins`` (null: beyond), pairs up to ``most``.
+
+    More than ``limit`` pairs are an error: the bound is too wide.
+    """
+    made = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+
+    def meet(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own = np.asarray(block.column(0)), _rows(block, 1)
+        total = np.zeros(bins + 1, np.int64)
+        for batch in batches:
+            theirs = np.asarray(batch.column(0))
+            if not len(theirs) or not len(ids):
+                continue
+            x = _rows(batch, 1)
+            for q in range(len(ids)):
+                d = np.round(np.sqrt(((x - own[q]) ** 2).mean(1)), 9)
+                ok = theirs > ids[q] if same else np.ones(len(d), bool)
+                total += np.bincount(np.minimum(d[ok].astype(np.int64), bins), minlength=bins + 1)
+                near = np.flatnonzero(ok & (d <= most))
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[q], np.int64)), pa.array(theirs[near]), pa.array(d[near]), pa.nulls(len(near), pa.int64())], names=["a", "b", "rms", "n"])
+        m = bins + 1
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.arange(m, dtype=float)), pa.array(total)], names=["a", "b", "rms", "n"])
+
+    met = _against(made(rows), made(given), ["id", "v"], "id", "a long, b long, rms double, n long", meet)
+    pairs = met.where("n is null").select("a", "b", "rms")
+    if (n := pairs.count()) > limit:
+        raise ValueError(f"{n} pairs, more than {limit}")
+    h = met.where("n is not null").groupBy(F.when(F.col("rms") < bins, F.col("rms").cast("int")).alias("bin")).agg(F.sum("n").alias("pairs"))
+    return h, pairs
+
+
+def seeded_pairs(rows: DataFrame, folder: str, id_col: str, per_folder: int, seed: str) -> DataFrame:
+    """(folder, a, b), a < b: about ``per_folder`` pairs of each folder of at least two rows, drawn by hashes of (folder, draw); equal draws count once.
+
+    Rows of a folder are numbered in seeded hash order; a draw takes two different numbers.
+    """
+    from quern.operators.ordered import hash_place
+
+    placed = hash_place(rows.select(folder, id_col).distinct(), [folder], id_col, seed).withColumn("k", F.col("place") - 1)
+    n = placed.groupBy(folder).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    each = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per_folder - 1))))
+    key = F.sha2(F.concat_ws("|", F.lit(seed), F.col(folder).cast("string"), F.col("i").cast("string")), 256)
+    number = lambda at: F.conv(F.substr(key, F.lit(at), F.lit(12)), 16, 10).cast("long")
+    x = number(1) % F.col("n")
+    y = (x + 1 + number(13) % (F.col("n") - 1)) % F.col("n")
+    drawn = each.select(folder, x.alias("x"), y.alias("y"))
+    j = drawn.join(placed.select(folder, F.col("k").alias("x"), F.col(id_col).alias("_a")), [folder, "x"]).join(placed.select(folder, F.col("k").alias("y"), F.col(id_col).alias("_b")), [folder, "y"])
+    return j.select(folder, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+
+
+def ncc_peak(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float | None, int, int]:
+    """(highest normalised cross-correlation, dx, dy) of two pictures of one size over all shifts that leave at least ``least`` of it in common.
+
+    A shift under which either part has no variance has no value; ties go to the smaller shift.
+    """
+    h, w = a.shape
+    shape = (2 * h, 2 * w)
+    c = np.fft.irfft2(np.fft.rfft2(a, shape) * np.conj(np.fft.rfft2(b, shape)), shape)
+    sums = [np.pad(np.cumsum(np.cumsum(x, 0), 1), ((1, 0), (1, 0))) for x in (a, a * a, b, b * b)]
+    dy, dx = np.meshgrid(np.arange(1 - h, h), np.arange(1 - w, w), indexing="ij")
+    y0, y1, x0, x1 = np.maximum(dy, 0), np.minimum(h, h + dy), np.maximum(dx, 0), np.minimum(w, w + dx)
+    def over(s: np.ndarray, top: np.ndarray, bottom: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return s[bottom, right] - s[top, right] - s[bottom, left] + s[top, left]
+    n = ((y1 - y0) * (x1 - x0)).astype(float)
+    sa, saa = (over(s, y0, y1, x0, x1) for s in sums[:2])
+    sb, sbb = (over(s, y0 - dy, y1 - dy, x0 - dx, x1 - dx) for s in sums[2:])
+    spread = np.sqrt(np.maximum(saa - sa * sa / n, 0) * np.maximum(sbb - sb * sb / n, 0))
+    ok = (n >= least * h * w) & (spread > 1e-9)
+    r = np.where(ok, (c[dy % shape[0], dx % shape[1]] - sa * sb / n) / np.where(ok, spread, 1), -np.inf)
+    if not ok.any():
+        return None, 0, 0
+    top = np.flatnonzero(r.ravel() >= r.max() - 1e-12)
+    best = min(top, key=lambda k: (abs(dy.ravel()[k]) + abs(dx.ravel()[k]), dy.ravel()[k], dx.ravel()[k]))
+    return float(r.ravel()[best]), int(dx.ravel()[best]), int(dy.ravel()[best])
+
+
+def correlation_peaks(pairs: DataFrame, a: str, b: str, height: int, least: float) -> DataFrame:
+    """``pairs`` without the two array columns, with peak, dx and dy of their correlation as pictures of ``height`` rows."""
+    ship()
+    keep = [c for c in pairs.columns if c not in (a, b)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(keep).schema) + ", peak double, dx int, dy int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_rows(batch.select([c]), 0) for c in (a, b))
+            found = [ncc_peak(p.reshape(height, -1), q.reshape(height, -1), least) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], names=[*keep, "peak", "dx", "dy"])
+
+    return pairs.mapInArrow(run, schema)
+
+
+def matched_levels(histograms: DataFrame, reference: DataFrame, by: str) -> DataFrame:
+    """(by, level, mapped): for each of 256 levels the first reference level whose share of all (cdf) is at least the picture's.
+
+    histograms: (by, level, n), reference: (level, cdf), 256 rows.  A picture without any count keeps its levels; beyond the last is 255.
+    """
+    levels = histograms.sparkSession.range(256).select(F.col("id").cast("int").alias("level"))
+    total = histograms.groupBy(by).agg(F.sum("n").alias("_t"))
+    grid = total.crossJoin(F.broadcast(levels)).join(histograms, [by, "level"], "left")  # 256 levels
+    run = F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy(by).orderBy("level"))
+    cdf = grid.select(by, "level", "_t", F.when(F.col("_t") > 0, run / F.col("_t")).alias("_c"))
+    ref = reference.agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "cdf"))), lambda x: x["cdf"]).alias("_r"))  # 256 rows
+    below = F.size(F.filter("_r", lambda x: x < F.col("_c")))
+    return cdf.crossJoin(F.broadcast(ref)).select(by, "level", F.when(F.col("_t") > 0, F.least(below, F.lit(255))).otherwise(F.col("level")).alias("mapped"))
+
+
+def groups_by_edges(groups: DataFrame, edges: DataFrame, unit: str, group: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(merged, crossing): groups with at least ``least`` edges (a, b) between them become one component (the least group); and the number
+    of edges that still cross."""
+    g = groups.select(unit, group)
+    side = lambda c: g.select(F.col(unit).alias(c), F.col(group).alias("g" + c))
+    e = edges.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("ga <> gb").select("a", "b", F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y"))
+    strong = e.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    comp = components(strong).select(F.col("id").alias(group), "component")
+    merged = g.join(comp, group, "left").select(unit, F.coalesce("component", F.col(group)).alias("component"))
+    at = lambda c: merged.select(F.col(unit).alias(c), F.col("component").alias("c" + c))
+    crossing = edges.select("a", "b").join(at("a"), "a").join(at("b"), "b").agg(F.count_if(F.col("ca") != F.col("cb")).alias("crossing"))
+    return merged, crossing
+
+
+def reach(seeds: DataFrame, edges: DataFrame, groups: DataFrame, with_groups: bool) -> DataFrame:
+    """(id, hop): ids one and two steps from the seeds along edges (a, b), seeds not counted; with ``with_groups`` each step takes all of a group
+    (id, grp) that it reaches, and the second starts from these."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    start = seeds.select("id").distinct()
+
+    def step(df: DataFrame) -> DataFrame:
+        return both.join(df.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).join(start, "id", "left_anti").distinct()
+
+    def whole(df: DataFrame) -> DataFrame:
+        if not with_groups:
+            return df
+        same = groups.join(groups.join(df, "id", "left_semi").select("grp").distinct(), "grp", "left_semi").select("id")
+        return df.union(same.join(start, "id", "left_anti")).distinct()
+
+    one = whole(step(start))
+    two = whole(one.union(step(one)).distinct())
+    return one.withColumn("hop", F.lit(1)).union(two.join(one, "id", "left_anti").withColumn("hop", F.lit(2)))
+
+
+def fits_squares(want: dict[str, float], got: dict[str, float], add: dict[str, float]) -> bool:
+    """Whether adding a component brings the strata nearer to what is wanted, by squares."""
+    cost = lambda more: sum((got.get(s, 0) + more.get(s, 0) - w) ** 2 for s, w in want.items())
+    return cost(add) < cost({})
+
+
+def greedy_split(components_: DataFrame, share: float, most: int = 1_000_000) -> DataFrame:
+    """(component): components that a greedy pass from the largest on takes, each if it brings the strata nearer to ``share`` of them.
+
+    components_: (component, stratum, n).  The pass is a sequence, over sums by component alone (an error beyond ``most`` rows).
+    """
+    rows = components_.select("component", "stratum", F.col("n").cast("double").alias("n")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} components and strata")
+    by: dict = {}
+    want: dict[str, float] = {}
+    for r in rows:
+        by.setdefault(r["component"], {})[r["stratum"]] = r["n"]
+        want[r["stratum"]] = want.get(r["stratum"], 0) + share * r["n"]
+    got: dict[str, float] = {}
+    taken = []
+    for c in sorted(by, key=lambda c: (-sum(by[c].values()), str(c))):
+        if fits_squares(want, got, by[c]):
+            taken.append((c,))
+            for s, n in by[c].items():
+                got[s] = got.get(s, 0) + n
+    kind = components_.schema["component"].dataType.simpleString()
+    return components_.sparkSession.createDataFrame(taken, f"component {kind}")
