@@ -145,3 +145,11 @@ def sentences(text: Column, shortest: int = 8) -> Column:
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), s))),
     ).otherwise(F.concat(acc, F.array(s)))
     return F.when(F.size(pieces) == 0, F.array().cast("array<string>")).otherwise(F.aggregate(pieces, F.array().cast("array<string>"), glue))
+
+
+def fixed(v: Column, places: int) -> Column:
+    """A number as text with ``places`` digits; a number exactly between two (an odd multiple of 2 ** -(places + 1)) goes to the even one."""
+    v = v.cast("double")
+    halves = v * F.lit(float(1 << (places + 1)))
+    tie = (F.abs(halves) < 2.0**52) & (halves == F.floor(halves)) & (F.pmod(halves, F.lit(2.0)) == 1)
+    return F.when(tie, F.bround(v.cast(f"decimal(38,{places + 1})"), places).cast(f"decimal(38,{places})").cast("string")).otherwise(F.format_string(f"%.{places}f", v))
