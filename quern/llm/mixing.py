@@ -7,17 +7,20 @@ meet a target entropy, or to be the least that repeats no source more than
 permutations: the rows of a source fall into blocks by a keyed hash; each epoch runs through all blocks in an
 order of its own; the last, partial epoch stops when the source's budget is reached.
 
-A row has as many tokens as words, and one for its end.  Only totals by source (checked to be at most
-``MAX_SOURCES``) reach the driver.  No step needs all rows of a source together: budgets are cut by
-totals by block, and rows are ordered only within the one block where a budget ends.
-
-Defined results: null text counts as empty; rows with null source form a source of their own; repeated rows are taken
-or left row by row; an empty table gives an empty one.  All of it is DataFrame expressions.
+A row has as many tokens as words, and one for its end.  Totals by source reach the driver if there are at most
+``MAX_SOURCES``; of more sources the exponent is bisected by sums over their table, one for each step, and weights stay columns.
+No step needs all rows of a source together: budgets are cut by
+totals by block, and rows are ordered only within the one block where a budget ends.  Turns are made for each epoch and
+block that is taken, so they are never more than the rows of the result, whatever the number of epochs.
+
+Defined results: null text counts as empty; rows with null source form a source of their own; rows with null id are placed by their
+text; repeated rows are taken or left together; an empty table gives an empty one.  All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from ._store import written
 
 MAX_SOURCES = 100_000
+STEPS = 60  # of a bisection
 
 
 def temperature_weights(tokens: dict, budget: float, target_entropy: float | None = None, max_epochs: float | None = None) -> tuple[float, dict]:
@@ -51,11 +55,39 @@ def temperature_weights(tokens: dict, budget: float, target_entropy: float | Non
         return 1.0, weights(1.0)
     if not flat_enough(0.0):
         return 0.0, weights(0.0)
+    power = _bisected(flat_enough)
+    return power, weights(power)
+
+
+def _bisected(flat: Callable[[float], bool]) -> float:
     lo, hi = 0.0, 1.0
-    for _ in range(60):
+    for _ in range(STEPS):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if flat_enough(mid) else (lo, mid)
-    return hi, weights(hi)
+        lo, hi = (mid, hi) if flat(mid) else (lo, mid)
+    return hi
+
+
+def temperature_plan(totals: DataFrame, budget: int | None, target_entropy: float | None, max_epochs: float | None) -> DataFrame:
+    """(source, full, rest) from a written table (source, n): whole epochs and tokens beyond, by ``temperature_weights`` over any number of sources."""
+    total = int(totals.agg(F.sum("n")).first()[0])
+    budget = total if budget is None else budget
+    share = F.col("n") / F.lit(float(total))
+
+    def sums(power: float) -> tuple[float, float, float]:
+        """The normaliser, the sum for the entropy and the largest weight by tokens."""
+        w = F.pow(share, F.lit(power))
+        r = totals.agg(F.sum(w).alias("z"), F.sum(w * F.log(w)).alias("e"), F.max(w / F.col("n")).alias("m")).first()
+        return r["z"], r["e"], r["m"]
+
+    def flat(power: float) -> bool:
+        z, e, m = sums(power)
+        if target_entropy is not None and math.log(z) - e / z > target_entropy:
+            return True
+        return max_epochs is not None and m / z * budget > max_epochs
+
+    power = 1.0 if target_entropy is None and max_epochs is None else _bisected(flat) if flat(0.0) else 0.0
+    want = F.bround(F.pow(share, F.lit(power)) / F.lit(sums(power)[0]) * budget).cast("long")
+    return totals.select("source", F.floor(want / F.col("n")).cast("int").alias("full"), (want % F.col("n")).alias("rest"))
 
 
 def _place(*parts: Column | str) -> Column:
@@ -74,26 +106,27 @@ def mix_sources(
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     ks = [f"k{i}" for i in range(len(keep))]
     words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (words + 1).cast("long").alias("tokens"), *carried)
-    place = _place(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.select("*", place.alias("place")).select("*", F.pmod("place", F.lit(blocks)).cast("int").alias("block"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    place = _place(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("long").cast("string"), F.concat(F.lit("null:"), text)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (words + 1).cast("long").alias("tokens"), place.alias("place"), *carried)
+    rows = rows.select("*", F.pmod("place", F.lit(blocks)).cast("int").alias("block"))
     narrow = written(rows.select("doc_id", "source", "tokens", "place", "block"), "tokens")
     by_block = written(narrow.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens")), "blocks")
-    totals = {r["source"]: int(r["n"]) for r in by_block.groupBy("source").agg(F.sum("block_tokens").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    by_source = written(by_block.groupBy("source").agg(F.sum("block_tokens").alias("n")), "totals")
+    n_sources = by_source.count()
     out_names = [F.col(k).alias(c) for k, c in zip(ks, keep)]
-    if not totals:
+    if not n_sources:
         return rows.select("doc_id", "source", F.lit(0).alias("epoch"), F.lit(0).alias("block_rank"), "place", "tokens", *out_names)
-    budget = sum(totals.values()) if budget is None else budget
-    _, weight = temperature_weights(totals, budget, target_entropy, max_epochs)
-    plan_rows = []
-    for s, n in totals.items():
-        want = round(weight[s] * budget)
-        plan_rows.append((s, want // n, want % n))
-    plan = spark.createDataFrame(plan_rows, "source string, full int, rest long")
+    if n_sources > MAX_SOURCES:
+        plan = temperature_plan(by_source, budget, target_entropy, max_epochs)
+    else:
+        totals = {r["source"]: int(r["n"]) for r in by_source.collect()}
+        budget = sum(totals.values()) if budget is None else budget
+        _, weight = temperature_weights(totals, budget, target_entropy, max_epochs)
+        want = {s: round(weight[s] * budget) for s in totals}
+        plan = F.broadcast(spark.createDataFrame([(s, want[s] // n, want[s] % n) for s, n in totals.items()], "source string, full int, rest long"))
     # (source, epoch, block): whether the block is taken whole, in part or not at all, and its turn in the epoch.
-    turns = by_block.alias("b").join(F.broadcast(plan).alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "block", "block_tokens", "full", "rest")
+    turns = by_block.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "block", "block_tokens", "full", "rest")
     turns = turns.select("*", F.explode(F.sequence(F.lit(0), "full")).alias("epoch"))
     # The order of blocks is the source's own in each epoch; a source has at most `blocks` of them.
     order = W.partitionBy("source", "epoch").orderBy(_place(F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("epoch").cast("string"), F.col("block").cast("string")), "block")

@@ -123,10 +123,15 @@ def place(*parts):
     return int(hashlib.md5("|".join(parts).encode()).hexdigest()[:15], 16)
 
 
+@pytest.mark.parametrize("most", [100_000, 2])
 @pytest.mark.parametrize("options", [{"max_epochs": 3.0}, {"target_entropy": 1.0, "max_epochs": None}, {"max_epochs": 2.0, "budget": 900}, {"max_epochs": None, "budget": 20_000}])
-def test_mixture_equals_a_recomputation(spark, options):
+def test_mixture_equals_a_recomputation(spark, monkeypatch, options, most):
+    """With sources' totals in the driver, and with more sources than it takes."""
+    from quern.llm import mixing
     from quern.llm.mixing import mix_sources, temperature_weights
 
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+    monkeypatch.setattr(mixing, "STEPS", 40)
     rows = [(i, prose(r.randrange(0, 30)), "a" if i % 9 else ("b" if i % 2 else None)) for i in range(260)] + [(260, None, "c"), (3, "same row", "a"), (3, "same row", "a"), (None, "x y", "c"), (None, "z", "c")]
     out = mix_sources(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, source string, epoch int"), blocks=8, **options).collect()
     tokens = lambda t: len((t or "").split()) + 1
@@ -145,7 +150,7 @@ def test_mixture_equals_a_recomputation(spark, options):
         blocks = defaultdict(list)
         for i, t, source in rows:
             if source == s:
-                at = place("7", "" if i is None else str(i))
+                at = place("7", f"null:{t or ''}" if i is None else str(i))
                 blocks[at % 8].append((at, i, tokens(t)))
         for epoch in range(full + 1):
             left = rest
@@ -201,3 +206,25 @@ def test_names_equal_a_recomputation_with_collisions(spark):
     out = {x.doc_id: x.text for x in pseudonymise(df).collect()}
     assert max(attempt.values()) > 1 and len(set(now.values())) == len(names)
     assert all(out[i] == f"x Mr. {now[norms[n]]} y Mr. {now[norms[n]]}." for i, n in enumerate(names))
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes, with an entity at the end, through the operators that read whole texts."""
+    from quern.llm.decontaminate import contaminated
+    from quern.llm.pii import pseudonymise
+    from quern.llm.toxicity import toxicity
+    from quern.llm.warc import read_archives, write_archives
+
+    item = prose(25)
+    long = prose(60_000)
+    rows = [(1, f"{long} {item} write to ann@mail.org", 1), (2, "x" * 2_000_000, 1), (3, None, 1), (None, long, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    out = {x.doc_id: x.text for x in pseudonymise(df).collect()}
+    assert "ann@mail.org" not in out[1] and out[1].startswith(long) and out[2] == rows[1][1] and out[None] == long
+    found = contaminated(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.start_word, x.similarity) for x in found] == [(1, 60_000, 1.0)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    scored = toxicity(df, labels).collect()
+    assert len(scored) == 4 and all(0 <= x.score <= 1 for x in scored) and [x.held_out for x in scored if x.doc_id is None] == [None]
+    back = read_archives(write_archives(df.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("u")))).collect()
+    assert sorted(x.payload_bytes for x in back) == sorted(len((t or "").encode()) for _, t, _ in rows)

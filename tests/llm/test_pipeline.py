@@ -122,3 +122,44 @@ def test_extra_columns_of_clashing_names(spark):
     vectors = df.select(F.col("doc_id").alias("vec_id"), F.array(*[(F.hash("doc_id", F.lit(i)) % 100 / 100).cast("float") for i in range(8)]).alias("embedding"))
     top = lambda x: sorted(map(str, exact_top_k(x, F.col("vec_id") % 10 == 0).collect()))
     assert top(vectors) == top(vectors.select("*", *[F.lit(1).alias(c) for c in names if c != "vec_id"]))
+
+
+def test_near_duplicate_stage_judges_each_text(spark):
+    """Ids of several texts, null ids, repeated rows that differ in language, and null texts."""
+    import corpus_pipeline as p
+
+    base, other, third = prose(120), prose(120), prose(90)
+    near = base.split()
+    near[60] = "edited"
+    rows = [
+        (1, base, "en", "a", 1), (5, " ".join(near), "en", "a", 2), (5, other, "de", "a", 3), (7, base.upper(), "en", "b", 4), (8, third, "fr", "b", 5), (8, third, "de", "c", 6), (8, third, None, "c", 6),
+        (9, None, "en", "a", None), (9, None, "en", "a", None), (10, "", "en", "a", 0), (None, base, "en", "a", 7), (None, base, "en", "a", 7), (None, None, "x", None, None),
+    ]
+    got = sorted(map(str, (tuple(r) for r in p.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect())))
+    want = [rows[0], rows[2], rows[6], rows[7], rows[9], rows[10], rows[11], rows[12]]
+    assert got == sorted(map(str, want))
+    once = [r for r in rows if r[0] not in (None, 5, 8, 9)]
+    got = sorted(map(str, (tuple(r) for r in p.drop_near_duplicates(spark, spark.createDataFrame(once, DOCS), "").collect())))
+    assert got == sorted(map(str, [rows[0], rows[9]]))
+
+
+def test_stages_carry_odd_rows(spark, tmp_path):
+    """Null ids, null and repeated rows and clashing columns through all stages."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as p
+
+    item, docs = rows()
+    docs = docs[300:] + [(None, None, None, None, None), (None, prose(30), "en", "big", 9), (None, prose(30), "en", "big", 9), docs[310], docs[310]]
+    df = spark.createDataFrame(docs, DOCS).select("*", *[F.lit(1).alias(c) for c in ("score", "predicted", "component_id", "number", "h", "k", "found", "tokens", "epoch")])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(300, 320)] + [(None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == COLUMNS, name
+    out = kept.collect()
+    assert sum(r.doc_id is None for r in out) == 3 and len([r for r in out if r.doc_id == 310]) == 1
+    mixed = p.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in out} and any(r.doc_id is None for r in mixed)
