@@ -153,3 +153,20 @@ def fixed(v: Column, places: int) -> Column:
     halves = v * F.lit(float(1 << (places + 1)))
     tie = (F.abs(halves) < 2.0**52) & (halves == F.floor(halves)) & (F.pmod(halves, F.lit(2.0)) == 1)
     return F.when(tie, F.bround(v.cast(f"decimal(38,{places + 1})"), places).cast(f"decimal(38,{places})").cast("string")).otherwise(F.format_string(f"%.{places}f", v))
+
+
+def flag(c: Column) -> Column:
+    """A flag whose null is false."""
+    return F.coalesce(c, F.lit(False))
+
+
+def fires(parse_ok: Column, codes: Column) -> Column:
+    """Whether a record was read and names any code."""
+    return flag(parse_ok) & (F.size(codes) > 0)
+
+
+def fraction(f: float) -> float:
+    """A share of 0 < f <= 1; anything else is an error."""
+    if isinstance(f, bool) or not isinstance(f, (int, float)) or not 0 < f <= 1:
+        raise ValueError(f"no share: {f!r}")
+    return float(f)

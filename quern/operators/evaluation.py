@@ -184,3 +184,56 @@ def ranked_precision(hits: DataFrame, gold: DataFrame, label: str, points: int =
     grid = n.select("_l", at.alias("reach")).join(best, ["_l", "reach"], "left")
     beyond = F.max("p").over(W.partitionBy("_l").orderBy(F.col("reach").desc()))
     return grid.withColumn("q", F.coalesce(beyond, F.lit(0.0))).groupBy(F.col("_l").alias(label)).agg(F.avg("q").alias("ap"))
+
+
+def fire_rates(contexts: DataFrame, records: DataFrame, unit: str) -> DataFrame:
+    """(defect, n, n_missing, rate): of the units of ``contexts`` (unit, defect) with a record (unit, fired) the share that fired."""
+    j = contexts.join(records.select(unit, "fired"), unit, "left")
+    has = F.col("fired").isNotNull()
+    return j.groupBy("defect").agg(F.count_if(has).alias("n"), F.count_if(~has).alias("n_missing"), ratio(F.count_if(F.col("fired")), F.count_if(has)).alias("rate"))
+
+
+def average_precision_by(scored: DataFrame, by: list[str], unit: str, score: str, positive: str) -> DataFrame:
+    """(by, ap): non-interpolated average precision of units by their best score; equal scores count together; null without positives."""
+    best = scored.where(F.col(score).isNotNull()).groupBy(*by, unit).agg(F.max(score).alias("s"), F.max(positive).alias("g"))
+    ties = best.groupBy(*by, "s").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("pos"))
+    wide, part = spread(ties, "s")
+    order = [F.col("s").desc()]
+    run = sum_before(sum_before(wide, by, -part, order, F.col("n"), "n0"), by, -part, order, F.col("pos"), "hits0")
+    hits, n = F.col("hits0") + F.col("pos"), F.col("n0") + F.col("n")
+    return run.groupBy(*by).agg(ratio(F.sum(F.col("pos") * hits / n), F.sum("pos")).alias("ap"))
+
+
+def gini_by(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
+    """(by, gini): twice the area under the ROC curve less one, ties counted half; null if a class is empty."""
+    per = rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    wide, part = spread(per, "s")
+    run = sum_before(wide, by, part, [F.col("s")], F.col("q"), "below")
+    wins = F.sum(F.col("p") * (2 * F.col("below") + F.col("q")).cast("double"))
+    return run.groupBy(*by).agg((ratio(wins, F.sum("p").cast("double") * F.sum("q")) - 1).alias("gini"))
+
+
+def gini_contrasts(ginis: DataFrame, central: str, fed: str, local: str) -> DataFrame:
+    """(contrast, value): differences of cells' scores; ``local`` is what the local cells' names begin with, and all of them must have one."""
+    at = lambda c: F.max(F.when(F.col("cell") == c, F.col("gini")))
+    mine = F.col("cell").startswith(local)
+    t = ginis.agg(at(central).alias("c"), at(fed).alias("f"), F.when(F.count_if(mine) == F.count(F.when(mine, F.col("gini"))), F.avg(F.when(mine, F.col("gini")))).alias("l"))
+    c, f, m = F.col("c"), F.col("f"), F.col("l")
+    rows = F.array(*[F.struct(F.lit(k).alias("contrast"), v.alias("value")) for k, v in (("fed_minus_central", f - c), ("fed_minus_local_mean", f - m), ("central_minus_local_mean", c - m))])
+    return t.select(F.inline(rows))
+
+
+def weighted_precision(hits: DataFrame, gold: DataFrame, weights: DataFrame, label: str, points: int = 101) -> DataFrame:
+    """``ranked_precision`` in which a unit's predictions and gold count its weight (unit, weight), as if it were there so often."""
+    n = gold.join(weights, "unit").groupBy(F.col(label).alias("_l")).agg(F.sum("weight").alias("gold"))
+    h, part = spread(hits.join(weights, "unit").where("weight > 0"), "score")
+    order = [F.col("score").desc(), F.col("unit"), F.col("pred_id")]
+    a = sum_before(h, [label], -part, order, F.when(F.col("hit"), F.col("weight")).otherwise(0), "tp0")
+    a = sum_before(a, [label], -part, order, F.col("weight"), "n0")
+    tp = F.col("tp0") + F.col("weight")
+    a = a.where("hit").select(F.col(label).alias("_h"), tp.alias("tp"), (tp / (F.col("n0") + F.col("weight"))).alias("precision"))
+    top = a.join(n, F.col("_h") == F.col("_l")).withColumn("reach", F.floor(F.col("tp") * (points - 1) / F.col("gold")))
+    best = top.groupBy("_l", "reach").agg(F.max("precision").alias("p"))
+    grid = n.select("_l", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("reach")).join(best, ["_l", "reach"], "left")
+    beyond = F.max("p").over(W.partitionBy("_l").orderBy(F.col("reach").desc()))
+    return grid.withColumn("q", F.coalesce(beyond, F.lit(0.0))).groupBy(F.col("_l").alias(label)).agg(F.avg("q").alias("ap"))
