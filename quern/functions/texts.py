@@ -117,7 +117,7 @@ def mixed_language(text: Column, letters: str, least: float, words: int) -> Colu
     all_ = own + latin + han
     return F.array_compact(F.array(
         F.when(F.regexp_count(text, F.lit(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}]")) > 0, "mixed_cjk"),
-        F.when(text.rlike(rf"\b{word}(?:[\s,;:]+{word}){{{words - 1},}}"), "mixed_sentence"),
+        F.when(text.rlike(rf"\b{word}(?:[\s,;:]+{word}){{{words - 1}}}"), "mixed_sentence"),
         F.when((all_ == 0) | (own < all_ * least), "low_share"),
     ))
 
