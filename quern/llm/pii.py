@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from ._store import written
 
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа"
-_NAME = r"\p{Lu}(?:\p{L}+|['’]\p{L}+)(?:['’\-]\p{L}+)*"
+_NAME = r"\p{Lu}(?:\p{L}+|['’]\p{L}+)(?:['’\-]\p{L}+)*+"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-# The entity patterns, the first that fits a place wins.
+# The entity patterns, the first that fits a place wins.  A domain has at most 127 parts; other repeats of groups are possessive or
+# counted, as an open one takes a stack frame for each part and a long text has many.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![\p{L}\p{N}._%+\-@])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-@])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.){1,126}\p{L}{2,}",
     "name": rf"\b(?:{TITLES})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
     "secret": r"(?<![\p{L}\p{N}_\-])(?:(?:sk|pk|ghp|AKIA)[_\-]?[A-Za-z0-9]{16,}|[0-9a-fA-F]{32,})(?![\p{L}\p{N}_\-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",

@@ -228,3 +228,15 @@ def test_very_long_texts(spark):
     assert len(scored) == 4 and all(0 <= x.score <= 1 for x in scored) and [x.held_out for x in scored if x.doc_id is None] == [None]
     back = read_archives(write_archives(df.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("u")))).collect()
     assert sorted(x.payload_bytes for x in back) == sorted(len((t or "").encode()) for _, t, _ in rows)
+
+
+def test_entities_of_very_many_parts(spark):
+    """Names, addresses and numbers of as many parts as a long text has: no overflow, and what is around them stays."""
+    from quern.llm.pii import pseudonymise
+
+    n = 40_000
+    odd = ["Dr. Ann" + "-Bo" * n, "a@" + "bc." * n + "com", "a." * n + "b@mail.org", "DE44" + " 1234" * n, "1" + "-234" * n, "1:" * n, "Mr. O" + "'a" * n + " Bo" + "-c" * n]
+    df = spark.createDataFrame([(i, f"so {t} on") for i, t in enumerate(odd)], "doc_id long, text string")
+    out = {x.doc_id: x.text for x in pseudonymise(df).collect()}
+    assert len(out) == len(odd) and all(t.startswith("so ") and t.endswith(" on") for t in out.values())
+    assert "Bo-Bo" not in out[0] and "b@mail" not in out[2] and "-c-c" not in out[6]
