@@ -33,11 +33,17 @@ def test_strict_csv(spark, tmp_path):
     from quern.sources.tables import read_csv
 
     p = tmp_path / "a.csv"
-    p.write_text("a,b,c\n1,,true\n,x,\n")
-    rows = read_csv(spark, str(p), {"a": "bigint", "b": "string", "c": "boolean"}).collect()
-    assert [tuple(r) for r in rows] == [(1, "", True), (None, "x", None)]
+    types = {"a": "bigint", "b": "string", "c": "boolean"}
+    p.write_text('a,b,c\n1,,true\n,"x, ""y""",False\n')
+    assert [tuple(r) for r in read_csv(spark, str(p), types).collect()] == [(1, "", True), (None, 'x, "y"', False)]
+    assert [r.b for r in read_csv(spark, str(p), types, nullable=("b",)).collect()] == [None, 'x, "y"']
     with pytest.raises(ValueError):
         read_csv(spark, str(p), {"b": "string", "a": "bigint", "c": "boolean"})
+    # A blank or unknown boolean, a word for a number, a short and a long row.
+    for row in ("1,x,", "1,x,yes", "one,x,True", "1,x", "1,x,True,2"):
+        p.write_text(f"a,b,c\n{row}\n")
+        with pytest.raises(Exception):
+            read_csv(spark, str(p), types).collect()
 
 
 def test_sentences_glue_short_pieces(spark):
