@@ -258,3 +258,55 @@ def test_shares():
     for f in (0, -0.1, 1.1, True, "1", math.nan):
         with pytest.raises(ValueError):
             fraction(f)
+
+
+def test_snapshot_views(spark):
+    """What a receipt allows and what is refused; a changed, a new or a lost part refuses everything."""
+    from pathlib import Path
+
+    from quern.plans.snapshots import _snapshot
+    from quern.sources import catalog as C
+
+    path = _snapshot(spark, DIR)
+    snap = C.load_snapshot(spark, path)
+    images = snap.images.select("image_id", "split", "rel_path").collect()
+    of = lambda s: spark.createDataFrame([(r.image_id,) for r in images if r.split == s], "image_id string")
+    held = {r.image_id for r in images if r.split == "eval"}
+    receipt, log = {"kind": "main", "snapshot_digest": snap.digest}, []
+    want = sorted(r.ann_id for r in snap.defects.collect() if r.image_id in held)
+    assert want and sorted(r.ann_id for r in C.eval_defects(spark, path, of("eval"), receipt, log).collect()) == want
+    assert {r.image_id for r in C.eval_paths(spark, path, of("eval"), receipt, log).collect()} == held
+    for call, ids, seal in (
+        (C.eval_defects, of("eval"), receipt | {"kind": "pilot"}), (C.eval_defects, of("eval"), receipt | {"snapshot_digest": "0"}), (C.eval_defects, of("train"), receipt), (C.eval_defects, of("none"), receipt),
+        (C.eval_paths, of("train"), receipt), (C.eval_paths, of("eval"), {}),
+    ):
+        with pytest.raises(PermissionError):
+            call(spark, path, ids, seal, log)
+    assert [x["allowed"] for x in log] == [True] * 2 + [False] * 6
+    for ids in (of("eval"), of("train").union(of("eval").limit(1)), spark.createDataFrame([("nobody",)], "image_id string")):
+        with pytest.raises(ValueError):
+            C.defects_of(spark, path, ids)
+    with pytest.raises(ValueError):
+        C.image_columns(spark, path, ["image_id", "has_defect"], ["eval"])
+    part = sorted(Path(path, "images").glob("part-*"))[0]
+    kept = part.read_bytes()
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    for change in (lambda: part.write_bytes(kept + b"\n"), lambda: part.unlink(), lambda: Path(path, "images", "part-09999-x.csv").write_bytes(kept)):
+        change()
+        with pytest.raises(ValueError):
+            C.load_snapshot(spark, path)
+        part.write_bytes(kept)
+
+
+def test_images_below_a_folder(spark, tmp_path):
+    from quern.sources.catalog import found_images
+
+    for name in ("a/x_1_2.png", "a/y.JPG", "b/c/z-03-4.bmp", "b/note.txt"):
+        (tmp_path / "set" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "set" / name).write_bytes(b"x")
+    got = sorted(tuple(r) for r in found_images(spark, str(tmp_path / "set")).collect())
+    assert got == [("set/a/x_1_2.png", "a", "x"), ("set/a/y.JPG", "a", None), ("set/b/c/z-03-4.bmp", "c", "z")]
+    (tmp_path / "set" / "Train").mkdir()
+    (tmp_path / "set" / "Train" / "q.png").write_bytes(b"x")
+    with pytest.raises(Exception):
+        found_images(spark, str(tmp_path / "set")).collect()
