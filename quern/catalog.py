@@ -122,21 +122,12 @@ def clause_lookup(spark, d):
     return R.rule_lookup(q, rules, ["flag"], "q")
 
 
-@_query("""
-WITH i AS (SELECT l_suppkey AS s, l_partkey AS lo, l_partkey + 40 AS hi FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL),
-b AS (SELECT *, max(hi) OVER (PARTITION BY s ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i)
-SELECT s, lo, hi, CASE WHEN lo > before THEN 'gap' ELSE 'overlap' END AS fault FROM b WHERE lo <> before""")
-def interval_faults(spark, d):
-    i = _t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + 40).alias("hi")).distinct()
-    return R.interval_faults(i, ["s"])
-
-
 @_query("""
 WITH i AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS lo, l_partkey + 40 AS hi FROM lineitem),
 b AS (SELECT *, max(hi) OVER (PARTITION BY s ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i)
 SELECT s, lo, hi, CASE WHEN lo > before THEN 'gap' ELSE 'overlap' END AS fault FROM b WHERE lo <> before""")
-def interval_faults_whole(spark, d):
-    """The distinct intervals of all lines; ``interval_faults`` and its SQL read first lines only."""
+def interval_faults(spark, d):
+    """The distinct intervals of all lines."""
     i = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + 40).alias("hi")).distinct()
     return R.interval_faults(i, ["s"])
 

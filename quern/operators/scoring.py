@@ -137,7 +137,10 @@ def seed_spread(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def rank_interval(draws: DataFrame, value: str) -> DataFrame:
     """Order statistics without interpolation at ranks floor((n-1)*25/1000) and (n-1) minus it."""
-    n = draws.where(F.col(value).isNotNull())
-    ranked = n.select(F.col(value).alias("v"), (F.row_number().over(W.orderBy(value)) - 1).alias("r"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
-    k = F.floor((F.col("n") - 1) * 25 / 1000)
-    return ranked.agg(F.max(F.when(F.col("r") == k, F.col("v"))).alias("lo"), F.max(F.when(F.col("r") == F.col("n") - 1 - k, F.col("v"))).alias("hi"))
+    per = draws.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    wide, part = spread(per, "v")
+    run = sum_before(wide, [], part, [F.col("v")], F.col("n"), "r")
+    k = F.floor((F.col("total") - 1) * 25 / 1000)
+    within = lambda at: F.max(F.when((F.col("r") <= at) & (at < F.col("r") + F.col("n")), F.col("v")))
+    ranked = run.crossJoin(F.broadcast(per.agg(F.sum("n").alias("total"))))  # one row
+    return ranked.agg(within(k).alias("lo"), within(F.col("total") - 1 - k).alias("hi"))
\ No newline at end of file

@@ -180,7 +180,7 @@ def evaluate_map50(spark, d):
 @query("""
 WITH g AS (SELECT l_suppkey AS g, l_returnflag AS label, sum((l_quantity > 15 AND l_quantity < 35)::INT) AS tp, sum((l_quantity <= 15)::INT) AS fp, sum((l_quantity >= 35)::INT) AS fn FROM lineitem GROUP BY 1, 2),
 k AS (SELECT g, row_number() OVER (ORDER BY sha256('m|' || g)) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM g)),
-p AS (SELECT draw, ('0x' || substr(sha256('m|' || draw || '|' || i), 1, 12))::BIGINT % (SELECT max(n) FROM k) AS k FROM range(20) t(draw), range(100000) u(i) WHERE i < (SELECT max(n) FROM k)),
+p AS (SELECT draw, ('0x' || substr(sha256('m|' || draw || '|' || i), 1, 12))::BIGINT % (SELECT max(n) FROM k) AS k FROM (SELECT draw, unnest(range((SELECT max(n) FROM k))) AS i FROM range(20) t(draw))),
 t AS (SELECT draw, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM p JOIN k USING (k) JOIN g USING (g) GROUP BY 1, 2)
 SELECT draw, round(CASE WHEN count(*) = 3 THEN avg(2 * tp / (2 * tp + fp + fn)) END, 9) AS macro_f1 FROM t GROUP BY 1""")
 def m1_draws(spark, d):

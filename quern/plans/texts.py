@@ -13,18 +13,18 @@ _KINDS = {"number": r"[0-9]+(?:\.[0-9]+)?", "unit": r"[0-9] ?(?:mm|cm|kg|%)"}
 
 
 @query(r"""
-WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM documents WHERE text IS NOT NULL),
+WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 g AS (SELECT doc_id, CASE WHEN len(p) = 0 THEN [] ELSE string_split(list_reduce(p, lambda a, s: a || CASE WHEN length(string_split(a, chr(1))[-1]) < 8 THEN ' ' ELSE chr(1) END || s), chr(1)) END AS s FROM p)
 SELECT doc_id, len(s)::INT AS n, sha256(array_to_string(s, chr(10))) AS sha FROM g""")
 def split_sentences(spark, d):
-    s = S.sentences(F.col("text"))
-    out = table(spark, d, "documents").where("text is not null").select("doc_id", s.alias("s"))
+    s = S.sentences(F.coalesce("text", F.lit("")))
+    out = table(spark, d, "documents").select("doc_id", s.alias("s"))
     return out.select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "\n").cast("binary"), 256).alias("sha"))
 
 
 @query(None)
 def pack_windows(spark, d):
-    """Sentences cut at 600 characters and packed into windows of at most 1,200; (doc_id, window, chars, sha)."""
+    """Sentences cut at 600 characters and packed into windows of at most 1,200; (doc_id, window, chars, sha), none of texts without words."""
     s = table(spark, d, "documents").where("text is not null").select("doc_id", S.sentences(F.col("text")).alias("s"))
     w = s.select("doc_id", F.flatten(F.transform("s", lambda x: T.hard_split(x, 600))).alias("p")).select("doc_id", F.posexplode(T.pack(F.col("p"), 1200, 200)).alias("window", "text"))
     return w.select("doc_id", "window", F.length("text").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
@@ -37,10 +37,10 @@ def classify_facets(spark, d):
 
 
 @query(r"""
-WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS w, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS l, length(regexp_replace(text, '[^\p{Han}\p{Hiragana}\p{Katakana}]', '', 'g')) AS h FROM documents WHERE text IS NOT NULL)
+WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS w, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS l, length(regexp_replace(text, '[^\p{Han}\p{Hiragana}\p{Katakana}]', '', 'g')) AS h FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
 SELECT doc_id, array_to_string(list_filter([CASE WHEN h > 0 THEN 'other_script' END, CASE WHEN l = 0 THEN 'no_letters' END, CASE WHEN l > 0 AND w < l * 0.9 THEN 'low_share' END], lambda x: x IS NOT NULL), '+') AS problems FROM c""")
 def language_problems(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(T.script_problems(F.col("text"), "a-zA-Z", 0.9), "+").alias("problems"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.script_problems(F.coalesce("text", F.lit("")), "a-zA-Z", 0.9), "+").alias("problems"))
 
 
 @query(r"""
@@ -89,10 +89,10 @@ def clean_reason(spark, d):
 
 
 @query(r"""
-WITH x AS (SELECT doc_id, text, substr(text, 5, 20) AS q FROM documents WHERE length(text) >= 30)
+WITH x AS (SELECT doc_id, text, substr(text, 5, 20) AS q FROM documents)
 SELECT doc_id, CASE WHEN contains(text, replace(q, ' ', '-')) THEN 'exact'
  WHEN regexp_replace(q, '[^0-9A-Za-z]', '', 'g') <> '' AND contains(lower(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')), lower(regexp_replace(q, '[^0-9A-Za-z]', '', 'g'))) THEN 'loose' ELSE 'failed' END AS state FROM x""")
 def text_layer_check(spark, d):
     """A passage with hyphens for blanks against its whole text."""
     quote = F.replace(F.substr("text", F.lit(5), F.lit(20)), F.lit(" "), F.lit("-"))
-    return table(spark, d, "documents").where(F.length("text") >= 30).select("doc_id", T.contained(quote, F.col("text")).alias("state"))
+    return table(spark, d, "documents").select("doc_id", T.contained(quote, F.col("text")).alias("state"))

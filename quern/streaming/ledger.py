@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the ledger.
 LEDGER = (
     "run_id string, seed long, cell string, split_hash string, client_id string, round long, n_train_samples long, "
     "metric_name string, metric_value double, bytes_up long, bytes_down long, wall_time double"
@@ -17,9 +18,9 @@ def ledger_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_by_client(rows: DataFrame, cell: str, metric: str) -> DataFrame:
-    """Per client the value of its highest round; works on a stream in complete mode too."""
+    """Per client the value of its highest round, the highest of several; works on a stream in complete mode too."""
     mine = rows.where((F.col("cell") == cell) & (F.col("metric_name") == metric))
-    return mine.groupBy("client_id").agg(F.max_by("metric_value", "round").alias("value"), F.max("round").alias("round"))
+    return mine.groupBy("client_id").agg(F.max_by("metric_value", F.struct("round", "metric_value")).alias("value"), F.max("round").alias("round"))
 
 
 def missing_cells(rows: DataFrame, clients: list[str], rounds: int) -> DataFrame:
