@@ -229,4 +229,4 @@ def counts_by_split(spark, d):
     return _t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("split")).agg(F.count(F.lit(1)).alias("total"), F.sum(high).alias("defect"), F.sum(1 - high).alias("normal"))
 
 
-from quern.plans import accounting, checks, clauses, contracts, evaluation, generated, geometry, kernels, matching, records, resampling, rules, snapshots, splits, splitting, texts  # noqa: E402, F401  (they register their queries)
+from quern.plans import accounting, checks, clauses, contracts, evaluation, generated, geometry, kernels, matching, records, reports, resampling, rules, snapshots, splits, splitting, texts  # noqa: E402, F401  (they register their queries)

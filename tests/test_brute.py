@@ -310,3 +310,56 @@ def test_images_below_a_folder(spark, tmp_path):
     (tmp_path / "set" / "Train" / "q.png").write_bytes(b"x")
     with pytest.raises(Exception):
         found_images(spark, str(tmp_path / "set")).collect()
+
+
+def test_what_metadata_predicts(spark):
+    """A class that one feature gives away scores 1; one that no feature tells of scores about as a coin does."""
+    from quern.operators.reports import metadata_probe
+
+    r = random.Random(2)
+    rows = [(float(i % 2), r.random(), float(r.random() > 0.3), float(i % 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "w double, n double, coin double, told double")
+    train, test = df.limit(400), df.subtract(df.limit(400))
+    got = lambda classes, gate: metadata_probe(train, test, "id", ["w", "n"], classes, gate).first()
+    assert got({"t": "told"}, 0.5) == (1.0, False)
+    coin, passed = got({"c": "coin"}, 0.99)
+    assert 0.4 < coin < 0.95 and passed
+    both, unjudged = got({"t": "told", "c": "coin"}, None)
+    assert both == pytest.approx((1 + coin) / 2) and unjudged is None
+
+
+def test_refused_reports(spark):
+    from quern.operators.reports import differences, for_training, one_model
+
+    recs = lambda *rows: spark.createDataFrame(list(rows), "unit string, cell string, seed int")
+    assert one_model(recs(("a", "c", 1), ("b", "c", 1)), "unit", ["cell", "seed"]).count() == 2
+    for bad in (recs(("a", "c", 1), ("b", "c", 2)), recs(("a", "c", 1), ("a", "c", 1))):
+        with pytest.raises(ValueError):
+            one_model(bad, "unit", ["cell", "seed"])
+    images = spark.createDataFrame([("a", "train"), ("b", "eval"), ("c", "train"), ("c", "eval")], "unit string, split string")
+    defects = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "unit string, box int, notes string")
+    assert [tuple(r) for r in for_training(images, defects, "unit", "split", "eval", ["unit", "box"], ("notes",)).collect()] == [("a", 1)]
+    with pytest.raises(ValueError):
+        for_training(images, defects, "unit", "split", "eval", ["unit", "notes"], ("notes",))
+    with pytest.raises(ValueError):
+        for_training(images, defects.union(spark.createDataFrame([("c", 3, "z")], defects.schema)), "unit", "split", "eval", ["unit"], ())
+    with pytest.raises(ValueError):
+        differences(images, defects)
+
+
+def test_gaps_of_repeated_numbers(spark):
+    from quern.operators.reports import gap_report
+
+    r = random.Random(9)
+    groups = {g: sorted(r.choices(range(0, 200_000, 7) if g == "wide" else range(40), k=n)) for g, n in (("wide", 300), ("few", 12), ("many", 90), ("one", 1), (None, 20))}
+    df = spark.createDataFrame([(g, i) for g, ids in groups.items() for i in ids] + [("few", None)], "g string, id long")
+    got = {x.g: x for x in gap_report(df, ["g"], "id").collect()}
+    assert set(got) == set(groups)
+    for g, ids in groups.items():
+        steps = [b - a for a, b in zip(ids, ids[1:])]
+        runs = [len(list(x)) for _, x in itertools.groupby(range(len(ids)), key=lambda i: sum(s != 1 for s in steps[:i]))]
+        small = [s - 1 for s in steps if 1 < s <= 21]
+        x = got[g]
+        assert (x.n, x.dup_ids, x.gaps, x.gaps_over) == (len(ids), len(ids) - len(set(ids)), sum(s > 1 for s in steps), sum(s > 21 for s in steps))
+        assert (x.runs, list(x.run_top)) == (len(runs), sorted(runs, reverse=True)[:5]) and x.p == pytest.approx(sum(small) / (len(ids) + sum(small)), abs=6e-5)
+        assert x.shares == ([pytest.approx(small.count(k) / len(small), abs=6e-5) for k in (1, 2, 3)] if small else None)
