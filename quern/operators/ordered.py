@@ -1,11 +1,13 @@
 """Running sums and everything that follows from them: prefixes of a seeded order, shares, exact quantiles.
 
 A running sum over one window is one task for a key that holds most rows.  Here rows are dealt by (key, part), where the part is
-monotone in the order (the first digits of a hash, a bin of a number); sums of parts, a bounded number for each key, are run first.
+monotone in the order (the first digits of a hash, a place among quantiles of a number); sums of parts, a bounded number for each key, are run first.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from quern.functions import scalars as S
 
 BEFORE = (W.unboundedPreceding, -1)
+STEPS = 256
 
 
 def sum_before(df: DataFrame, by: list[str], part: Column, order: list[Column], value: Column, out: str) -> DataFrame:
@@ -31,10 +34,25 @@ def sum_before(df: DataFrame, by: list[str], part: Column, order: list[Column],
 
 
 def spread(df: DataFrame, value: str, bins: int = 4096) -> tuple[DataFrame, Column]:
-    """The rows with the ends of a numeric column beside, and a part that is monotone in it: its bin of equal width."""
-    ends = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    wide = F.col("_hi") - F.col("_lo")
-    return df.crossJoin(F.broadcast(ends)), F.when(wide > 0, F.floor((F.col(value) - F.col("_lo")) / wide * bins)).otherwise(F.lit(0))  # one row of ends
+    """The rows with a part beside that is monotone in a numeric column (nulls lowest, NaN highest).
+
+    The parts are ``bins`` in number at most: equal widths between STEPS quantiles, so however the values lie, a part holds little more than one STEPS-th
+    of the rows, but for equal values.
+    """
+    v = F.col(value).cast("double")
+    finite = F.when(F.abs(v) < float("inf"), v)
+    each = max(1, bins // STEPS)
+    ends = df.agg(F.coalesce(F.percentile_approx(finite, [i / STEPS for i in range(STEPS + 1)], 10_000), F.array(F.lit(0.0))).alias("_ends"))  # one row
+    # The segment of a value in two steps of comparisons, the place in it by its width.
+    few = math.isqrt(STEPS)
+    below = lambda at, n: F.size(F.filter(F.slice("_ends", at, n), lambda x: x <= v))
+    tops = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(STEPS), F.lit(few)), lambda i: F.get("_ends", i - 1)), lambda x: x <= v))
+    rows = df.crossJoin(F.broadcast(ends)).withColumn("_tops", F.greatest(tops, F.lit(1)))
+    rows = rows.withColumn("_seg", (F.col("_tops") - 1) * few + F.greatest(below((F.col("_tops") - 1) * few + 1, F.lit(few)), F.lit(1)))
+    lo, hi = F.get("_ends", F.col("_seg") - 1) / 2, F.get("_ends", F.col("_seg")) / 2
+    share = F.when(hi > lo, F.least(F.greatest((v / 2 - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))
+    place = F.when(F.isnan(v) | (v == float("inf")), each).when(share.isNotNull(), F.least(F.floor(share * each), F.lit(each - 1))).otherwise(0)
+    return rows.withColumn("_spread", F.when(v.isNull(), -1).otherwise(F.col("_seg") * (each + 1) + place).cast("long")).drop("_ends", "_tops", "_seg"), F.col("_spread")
 
 
 def previous(df: DataFrame, by: list[str], number: str, out: str, width: int = 1 << 16) -> DataFrame:

@@ -363,3 +363,25 @@ def test_gaps_of_repeated_numbers(spark):
         assert (x.n, x.dup_ids, x.gaps, x.gaps_over) == (len(ids), len(ids) - len(set(ids)), sum(s > 1 for s in steps), sum(s > 21 for s in steps))
         assert (x.runs, list(x.run_top)) == (len(runs), sorted(runs, reverse=True)[:5]) and x.p == pytest.approx(sum(small) / (len(ids) + sum(small)), abs=6e-5)
         assert x.shares == ([pytest.approx(small.count(k) / len(small), abs=6e-5) for k in (1, 2, 3)] if small else None)
+
+
+def test_parts_of_skewed_numbers(spark):
+    """Parts rise with the value and hold few rows however the values lie; infinities, NaN and nulls have their place."""
+    from quern.operators.ordered import spread
+
+    r = random.Random(7)
+    values = [math.exp(r.gauss(0, 8)) * r.choice([-1, 1]) for _ in range(20_000)] + [1e300, -1e300, 1.7e308, -1.7e308, math.inf, -math.inf, math.nan, None] + [5.0] * 4_000
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    wide, part = spread(df, "v")
+    got = [(x.v, x.p) for x in wide.select("v", part.alias("p")).collect()]
+    assert wide.columns == ["v", "_spread"] and Counter(v for v, _ in got if v == v) == Counter(v for v in values if v == v)
+    place = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    parts = [p for _, p in sorted(got, key=lambda x: place(x[0]))]
+    assert parts == sorted(parts) and max(Counter(p for v, p in got if v != 5.0).values()) <= 2 * 24_000 / 256
+    for odd in ([], [None], [math.nan, math.inf], [3.0], [2.0, 2.0, None]):
+        wide, part = spread(spark.createDataFrame([(v,) for v in odd], "v double"), "v")
+        rows = sorted(((place(x.v), x.p) for x in wide.select("v", part.alias("p")).collect()), key=lambda x: x[0])
+        assert [p for _, p in rows] == sorted(p for _, p in rows) and len(rows) == len(odd)
+    wide, part = spread(spark.createDataFrame([(2**62 + i,) for i in range(2000)], "v long"), "v")
+    rows = [x.p for x in wide.orderBy("v").select(part.alias("p")).collect()]
+    assert rows == sorted(rows)
