@@ -31,6 +31,7 @@ def _tables(lower: bool) -> np.ndarray:
 
 def release() -> None:
     """Give memory that was freed back to the system; a worker lives on after a task."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -111,10 +111,10 @@ def near_duplicates(
                 pending.append(s)
                 held += len(s)
                 if held > 1_000_000:
-                    sketch += np.bincount(place(np.concatenate(pending)), minlength=width).astype(np.uint32)
+                    np.add.at(sketch, place(np.concatenate(pending)), np.uint32(1))
                     pending, held = [], 0
             if held:
-                sketch += np.bincount(place(np.concatenate(pending)), minlength=width).astype(np.uint32)
+                np.add.at(sketch, place(np.concatenate(pending)), np.uint32(1))
             m = len(batch)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
@@ -127,6 +127,8 @@ def near_duplicates(
             [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(which, pa.int32()), pa.array([TaskContext.get().partitionId() // BUNCH] * m, pa.int32()), pa.array(parts, pa.binary())],
             names=["doc_id", "n", "digest", "slice", "bunch", "counts"],
         )
+        del sketch
+        release()
 
     surveyed = written(docs.mapInArrow(survey, "doc_id long, n long, digest binary, slice int, bunch int, counts binary"), "survey")
 
@@ -326,13 +328,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         return docs.join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "doc long, grams binary")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << bloom_bits, bool)
+        bits = np.zeros((1 << bloom_bits) // 8, np.uint8)
         for batch in batches:
             for at in _bloom_places(batch.column(0).to_numpy(), bloom_bits):
-                bits[at] = True
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         for i, part in enumerate(np.split(bits, SLICES)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["slice", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
+        del bits
+        release()
 
     def either(key, rows: pd.DataFrame) -> pd.DataFrame:
         out = np.frombuffer(rows["bits"].iloc[0], np.uint8).copy()
@@ -358,6 +362,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             batch = batch.filter(pa.array(ok))
             if len(batch):
                 yield from sets(iter([batch]))
+        release()
 
     return docs.mapInArrow(make, "doc long, grams binary")
 
@@ -378,6 +383,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                     both.sort(kind="stable")
                     ok.append(int((both[1:] == both[:-1]).sum()) >= need)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     pairs = bounded(pairs)
     later = sets.join(pairs.select(F.col("b").alias("doc")).distinct(), "doc", "left_semi")
