@@ -56,15 +56,20 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}/{tag}"
 
 
+BATCH_BYTES = 4 << 20
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     Cuts the lineage, keeps a Python or shuffle stage from running twice, and
     lets the planner see the real size (a side is then broadcast only below
     spark.sql.autoBroadcastJoinThreshold).  The files survive lost executors.
+    Python workers get Arrow batches of at most about BATCH_BYTES.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with arrow_bytes(df.sparkSession, BATCH_BYTES):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
