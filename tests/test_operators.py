@@ -165,6 +165,14 @@ def test_texts_with_nulls(spark):
     assert tuple(r) == ("", [], ["1-3", "9-9"], None, "7")
 
 
+def test_clean_reason_keeps_digits_at_ends(spark):
+    from quern.functions import texts as T
+
+    texts = ["0 first 0", " \n1<b> 1 \nx", "2\n2", "", "<br>\n \n2 third 2"]
+    got = [r[0] for r in spark.createDataFrame(enumerate(texts), "i int, t string").orderBy("i").select(T.clean_reason(F.col("t"))).collect()]
+    assert got == ["0 first 0", "1 1", "2", "", "2 third 2"]
+
+
 def test_readers(spark, tmp_path):
     from quern.sources.tables import policy_view, read_chunks, read_commented_csv, read_side
 
