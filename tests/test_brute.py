@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quern import catalog
 
@@ -385,3 +386,19 @@ def test_parts_of_skewed_numbers(spark):
     wide, part = spread(spark.createDataFrame([(2**62 + i,) for i in range(2000)], "v long"), "v")
     rows = [x.p for x in wide.orderBy("v").select(part.alias("p")).collect()]
     assert rows == sorted(rows)
+
+
+def test_unit_vectors_of_many_components(spark):
+    """A mean or length that is worked out again for each element takes minutes here."""
+    import time
+
+    from quern.operators.kernels import unit_vectors
+
+    rows = [np.sin(np.arange(1, 1201) * (i + 1)).tolist() for i in range(4)] + [[2.0] * 1200]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, v array<double>").coalesce(1)
+    began = time.time()
+    got = [r[0] for r in df.orderBy("i").select(unit_vectors(F.col("v"))).collect()]
+    assert time.time() - began < 30
+    for x, v in zip(rows, got):
+        c = np.array(x) - np.mean(x)
+        assert np.allclose(v, c / np.linalg.norm(c) if np.linalg.norm(c) >= 1e-3 else 0, atol=1e-12)
