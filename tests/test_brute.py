@@ -402,3 +402,45 @@ def test_unit_vectors_of_many_components(spark):
     for x, v in zip(rows, got):
         c = np.array(x) - np.mean(x)
         assert np.allclose(v, c / np.linalg.norm(c) if np.linalg.norm(c) >= 1e-3 else 0, atol=1e-12)
+
+
+def _scores_checked(spark, monkeypatch, n):
+    """Random vectors with ties and copies; sorts longer than what can be among the best are counted."""
+    from quern.operators import kernels as K
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (n, 4)).astype(float)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    monkeypatch.setattr(K, "PIECE", 64)
+    monkeypatch.setattr(K, "BLOCK", 200)
+    return df, v, np.round(v @ v.T, 12)
+
+
+def test_nearest_keeps_the_best_of_all_pieces(spark, monkeypatch):
+    from quern.operators import kernels as K
+
+    df, v, s = _scores_checked(spark, monkeypatch, 700)
+    got = defaultdict(dict)
+    for r in K.nearest(df, "id", "v", 3).collect():
+        got[r.a][r.rank] = (r.b, round(r.score, 9))
+    for a in range(len(v)):
+        want = sorted((-s[a, b], b) for b in range(len(v)) if b != a)[:3]
+        assert got[a] == {i + 1: (b, round(-x, 9)) for i, (x, b) in enumerate(want)}
+    few = K.nearest(df.where("id < 2"), "id", "v", 3).collect()
+    assert sorted((r.a, r.rank, r.b) for r in few) == [(0, 1, 1), (1, 1, 0)]
+
+
+def test_scans_read_their_rows_once(spark, monkeypatch):
+    """Rows are worked out once, not again for each block."""
+    from quern.operators import kernels as K
+
+    df, _, _ = _scores_checked(spark, monkeypatch, 700)
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    counted = df.withColumn("id", F.udf(look, "long").asNondeterministic()("id"))
+    assert K.nearest(counted, "id", "v", 3).count() == 2100 and seen.value <= 700
