@@ -444,3 +444,25 @@ def test_scans_read_their_rows_once(spark, monkeypatch):
 
     counted = df.withColumn("id", F.udf(look, "long").asNondeterministic()("id"))
     assert K.nearest(counted, "id", "v", 3).count() == 2100 and seen.value <= 700
+
+
+def test_best_owners_keep_the_best_of_all_pieces(spark, monkeypatch):
+    """Owners of a few windows and one of very many, cut by pieces and batches; a partition hands on k owners a query."""
+    from quern.operators import kernels as K
+
+    _, v, s = _scores_checked(spark, monkeypatch, 700)
+    owner = [0 if i % 3 == 0 else i // 5 for i in range(700)]
+    df = spark.createDataFrame([(owner[i], i, x.tolist()) for i, x in enumerate(v)], "owner long, window long, v array<double>").repartition(2)
+    q = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 700, 20)], "query long, v array<double>")
+    made, against = [], K._against
+    monkeypatch.setattr(K, "_against", lambda *a: made.append(against(*a)) or made[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    got = {(r["query"], r["rank"]): (r["owner"], r["window"], round(r["score"], 9)) for r in K.best_owners(q, df, 4).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for a in range(0, 700, 20):
+        best = {}
+        for b in range(700):
+            best[owner[b]] = min(best.get(owner[b], (9, 0)), (-s[a, b], b))
+        want = sorted((x, o, w) for o, (x, w) in best.items())[:4]
+        assert [got[a, i + 1] for i in range(4)] == [(o, w, round(-x, 9)) for x, o, w in want]
+    assert len(got) == 35 * 4 and made[0].groupBy("query").count().agg(F.max("count")).first()[0] <= 2 * 4
