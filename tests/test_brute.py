@@ -466,3 +466,24 @@ def test_best_owners_keep_the_best_of_all_pieces(spark, monkeypatch):
         want = sorted((x, o, w) for o, (x, w) in best.items())[:4]
         assert [got[a, i + 1] for i in range(4)] == [(o, w, round(-x, 9)) for x, o, w in want]
     assert len(got) == 35 * 4 and made[0].groupBy("query").count().agg(F.max("count")).first()[0] <= 2 * 4
+
+
+def test_hash_scan_compares_classes(spark, monkeypatch):
+    """Counts and pairs are those of all rows, but only one row a hash meets the others."""
+    from quern.operators import kernels as K
+
+    rng = random.Random(5)
+    kinds = [("0" * 62) + f"{i:02x}" for i in (0, 1, 3, 7, 255)] + [hashlib.sha256(b"x").hexdigest()]
+    rows = [(i, rng.choice([*kinds, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, h string").repartition(3)
+    sizes, against = [], K._against
+    monkeypatch.setattr(K, "_against", lambda *a: sizes.append((a[0].count(), a[1].count())) or against(*a))
+    dist = lambda x, y: bin(int(x, 16) ^ int(y, 16)).count("1")
+    kept = [r for r in rows if r[1]]
+    for same, mine, others in ((True, kept, kept), (False, kept[:40], kept[40:])):
+        part = (lambda ids: df.where(F.col("id").isin(ids))) if not same else (lambda ids: df)
+        hist, pairs = K.hash_scan(part([i for i, _ in mine]), part([i for i, _ in others]), "id", "h", 2, same)
+        want = [(a, b, dist(x, y)) for a, x in mine for b, y in others if not same or a < b]
+        assert {r.distance: r.pairs for r in hist.collect() if r.pairs} == Counter(d for _, _, d in want)
+        assert hist.count() == 257 and sorted(map(tuple, pairs.collect())) == sorted(w for w in want if w[2] <= 2)
+    assert sizes == [(6, 6), (6, 6)]
