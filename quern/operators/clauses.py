@@ -43,9 +43,16 @@ def one_rule(queries: DataFrame, rules: DataFrame, limit_type: str | None = None
 
 
 def one_clause(queries: DataFrame, rules: DataFrame, limit_type: str | None = None) -> DataFrame:
-    """(qid, clause, state): the only clause of the rules that apply (several rules of one clause are fine), else none or multiple."""
-    n = applicable(queries, rules, limit_type).groupBy("qid").agg(F.count_distinct("clause").alias("n"), F.min("clause").alias("c"))
-    out = queries.select("qid").join(n, "qid", "left")
+    """(qid, clause, state): the only clause of the rules that apply (several rules of one clause are fine), else none or multiple.
+
+    A qid occurs once.  Queries that ask the same are looked up once, against rules that say the same once.
+    """
+    asked = ["code", "material", "method", "scheme", "level", "t"]
+    said = rules.where("active and canonical").select("active", "canonical", "code", "material", "method", "scheme", "level", "limit_type", "lo", "hi", "clause").distinct().withColumn("rule_id", F.lit(None).cast("long"))
+    contexts = queries.select(asked).distinct().withColumn("qid", F.struct(*asked))
+    n = applicable(contexts, said, limit_type).groupBy("qid").agg(F.count_distinct("clause").alias("n"), F.min("clause").alias("c"))
+    # Where something asked is null no rule applies: such queries find none here either.
+    out = queries.join(n.select("qid.*", "n", "c"), asked, "left")
     state = F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "multiple").otherwise("ok")
     return out.select("qid", F.when(F.col("n") == 1, F.col("c")).alias("clause"), state.alias("state"))
 

@@ -556,3 +556,20 @@ def test_scanned_columns_are_those_of_scan(spark):
     assert {r.i: r for r in found.collect()} == plain and plain[0].clauses == ["KR-3.1"] and plain[0].standards == ["ISO 6520-1", "AWS"]
     used = out.select("i", *[K._stranger(said, K.numbers_of(F.lit("3"))).alias(f"u{k}") for k in range(5)])
     assert used._jdf.queryExecution().optimizedPlan().toString().count("퍼센트") <= 6
+
+
+def test_one_clause_looks_up_what_is_asked_once(spark, monkeypatch):
+    """Queries and rules that say the same are one each in the join; nulls find none."""
+    from quern.operators import clauses as C
+
+    rules = [(i, True, True, f"D{i % 2}", "ALL" if i % 3 else "ST", "RT", "S", "B", "T1", i % 5, None if i % 5 == 4 else i % 5 + 2, f"C{i % 2}{i % 5}") for i in range(600)]
+    asked = [(i, None if i % 50 == 7 else f"D{i % 2}", "ST" if i % 4 else "AL", "RT", "S", "B", i % 9) for i in range(800)]
+    r = spark.createDataFrame(rules, "rule_id long, active boolean, canonical boolean, code string, material string, method string, scheme string, level string, limit_type string, lo long, hi long, clause string")
+    q = spark.createDataFrame(asked, "qid long, code string, material string, method string, scheme string, level string, t long")
+    sizes, real = [], C.applicable
+    monkeypatch.setattr(C, "applicable", lambda a, b, *x: sizes.append((a.count(), b.count())) or real(a, b, *x))
+    got = {x.qid: (x.clause, x.state) for x in C.one_clause(q, r).collect()}
+    for i, code, material, _, _, _, t in asked:
+        found = {x[11] for x in rules if x[3] == code and x[4] in (material, "ALL") and t >= x[9] and (x[10] is None or t < x[10])}
+        assert got[i] == (min(found) if len(found) == 1 else None, "ok" if len(found) == 1 else "multiple" if found else "none")
+    assert len(got) == 800 and sizes[0][0] <= 2 * 2 * 9 * 2 and sizes[0][1] <= 30
