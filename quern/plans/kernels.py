@@ -40,7 +40,7 @@ def hamming_matrix(spark, d):
 def distance_histogram_256(spark, d):
     """How many pairs of all rows are 0 to 256 bits apart."""
     h = hashes(spark, d)
-    return K.hash_scan(h, h, "id", "h", 0, same=True)[0]
+    return K.hash_scan(h, h, "id", "h", 0, same=True, pairs=False)[0]
 
 
 @query(f"WITH x AS ({_HEX}), y AS (SELECT id, b FROM ({_BITS}) WHERE h IS NOT NULL) SELECT a.id AS a, c.id AS b, {_HAM}::BIGINT AS distance FROM y a, y c WHERE a.id % 20 = 1 AND c.id % 20 <> 1 AND {_HAM} <= 3")

@@ -489,6 +489,24 @@ def test_hash_scan_compares_classes(spark, monkeypatch):
     assert sizes == [(6, 6), (6, 6)]
 
 
+def test_hash_pairs_are_dealt_evenly(spark, monkeypatch):
+    """Pairs of two large classes are many tasks of about one size, and a null or repeated id keeps its pairs."""
+    from quern.operators import kernels as K
+
+    monkeypatch.setattr(K, "LIST", 16, raising=False)
+    monkeypatch.setattr(K, "TASK", 2000, raising=False)
+    near = [hashlib.sha256(b"y").hexdigest()[:63] + d for d in "0137"]
+    mine = [(i, near[0]) for i in range(100)] + [(None, near[1])] * 3 + [(7, near[0]), (8, None)]
+    others = [(i, near[2 + i % 2]) for i in range(1000, 1200)] + [(None, near[2])] * 40
+    df = lambda rows: spark.createDataFrame(rows, "id long, h string").repartition(3)
+    _, pairs = K.hash_scan(df(mine), df(others), "id", "h", 2)
+    dist = lambda x, y: (int(x, 16) ^ int(y, 16)).bit_count()
+    want = Counter((a, b, dist(x, y)) for a, x in mine for b, y in others if x and dist(x, y) <= 2)
+    assert Counter(map(tuple, pairs.collect())) == want
+    sizes = pairs.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.sum() == want.total() and sizes.max() < want.total() / 4
+
+
 def test_char_windows_of_long_texts(spark):
     """One pass, whatever the length; characters beyond the basic plane count as one."""
     import time
